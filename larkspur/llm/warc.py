@@ -73,7 +73,7 @@ def build_volume(records: list[bytes]) -> bytes:
     raw = b""
     if len(records) > 7:  # too few records train nothing
         try:
-            raw = zstandard.train_dictionary(DICT_BYTES, records, k=256, d=8).as_bytes()
+            raw = zstandard.train_dictionary(DICT_BYTES, records, k=1024, d=8).as_bytes()
         except zstandard.ZstdError:
             raw = b""
     kind = zstandard.ZstdCompressionDict(raw) if raw else None
@@ -88,16 +88,12 @@ def read_volume(data: bytes):
         raise ValueError("a volume starts with its dictionary")
     raw = data[8 : 8 + size]
     kind = zstandard.ZstdCompressionDict(raw) if raw else None
-    rest = memoryview(data)[8 + size :]
-    while len(rest):
-        magic = struct.unpack_from("<I", rest)[0]
-        if 0x184D2A50 <= magic <= 0x184D2A5F:
-            rest = rest[8 + struct.unpack_from("<I", rest, 4)[0] :]
-            continue
-        one = zstandard.ZstdDecompressor(dict_data=kind).decompressobj()
-        record = one.decompress(rest)
-        yield record
-        rest = rest[len(rest) - len(one.unused_data) :]
+    reader = zstandard.ZstdDecompressor(dict_data=kind).stream_reader(memoryview(data)[8 + size :], read_across_frames=True)
+    text, at = reader.readall(), 0
+    while at < len(text):
+        block = text.index(b"\r\n\r\n", at) + 4
+        length = int(text[text.rindex(b"Content-Length: ", at, block) + 16 : block - 4])
+        yield text[at : (at := block + length + 4)]
 
 
 def write_warc(pages: DataFrame, path: str | None = None, **columns: str) -> str:
