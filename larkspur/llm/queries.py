@@ -1,11 +1,12 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express on whole tables."""
 
-from larkspur.llm import bpe, minhash, quality, suffix, urlfilter, warc
+from larkspur.llm import bpe, linededup, minhash, quality, suffix, urlfilter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_warc": warc.op2_warc,
     "op5_suffix_array": suffix.op5_suffix_array,
+    "op7_line_dedup": linededup.op7_line_dedup,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_minhash": minhash.op9_minhash,
     "op10_quality_rules": quality.op10_quality_rules,
