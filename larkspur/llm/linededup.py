@@ -58,14 +58,13 @@ def _lanes(words: Column, width: int) -> Column:
     return F.aggregate(words, zero, add, bits)
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words: bit k is set where more than half of the words' hashes have it."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def simhash(hashes: Column) -> Column:
+    """64-bit SimHash of an array of 64-bit hashes: bit k is set where more than half of them have it."""
     most = 32_767
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / most).cast("int")), lambda b: F.slice(hashes, b * most + 1, F.lit(most)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / most).cast("int")), lambda b: F.slice(hashes, b * most + 1, F.lit(most)))
     return (
-        F.when(F.size(words) < 128, _lanes(hashes, 8))
-        .when(F.size(words) <= most, _lanes(hashes, 16))
+        F.when(F.size(hashes) < 128, _lanes(hashes, 8))
+        .when(F.size(hashes) <= most, _lanes(hashes, 16))
         .otherwise(_lanes(F.transform(blocks, lambda b: _lanes(b, 16)), 16))
     )
 
@@ -93,7 +92,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("d", "t", "pos", normalised(F.col("line")).alias("norm"))
     lines = lines.select("d", "t", "pos", "norm", F.split("norm", " ").alias("words")).filter(F.size("words") >= MIN_WORDS)
-    sim = F.when(F.size("words") >= FUZZY_WORDS, simhash(F.col("words")))
+    lines = lines.select("d", "t", "pos", "norm", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    sim = F.when(F.size("hashes") >= FUZZY_WORDS, simhash(F.col("hashes")))
     lines = materialise(lines.select("d", "t", "pos", F.xxhash64("norm").alias("k1"), F.hash("norm").alias("k2"), F.length("norm").alias("size"), sim.alias("sim")), "lines")
 
     place = F.struct("d", "t", "pos")

@@ -1,10 +1,11 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express on whole tables."""
 
-from larkspur.llm import bpe, linededup, minhash, quality, suffix, urlfilter, warc
+from larkspur.llm import bpe, decontam, linededup, minhash, quality, suffix, urlfilter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_warc": warc.op2_warc,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op5_suffix_array": suffix.op5_suffix_array,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_url_filter": urlfilter.op8_url_filter,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op4_decontaminate": decontam.OP4_SQL,
     "op8_url_filter": urlfilter.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
