@@ -47,50 +47,74 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """Rows of ``members(key, node, ...)`` whose key has two nodes or more, written out with the key's
-    least and greatest node as ``lo`` and ``hi``."""
-    span = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    return materialise(members.join(span, "key"), "buckets")
+    """``key, node, size`` of the rows of ``members(key, node)`` whose key has several nodes, written out."""
+    many = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    return materialise(members.join(many, "key").select("key", "node", "size"), "buckets")
 
 
 def linked_components(
     members: DataFrame,
-    attributes: list[str],
+    attributes: DataFrame,
     likely: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
+    rounds: int = 3,
 ) -> DataFrame:
-    """``node, component`` over the verified links between nodes that share a key.
-
-    ``members(key, node, lo, hi, *attributes)`` comes from ``shared_buckets``; ``likely(a, b)`` is a cheap
-    necessary condition on the attributes under the aliases a and b; ``verify(pairs(a, b))`` gives the true
-    links. Rather than all pairs of a bucket, each node is first held against the least and the greatest
-    node it meets in any bucket, which gathers groups of copies into components. What can still be
-    missing are links between components: in buckets that span several, every node outside the bucket's
-    largest component is held against the nodes of other components. No link is lost, since a pair inside
-    one component adds nothing."""
-    nodes = members.select("node", *attributes).distinct()
-    nodes = materialise(nodes, "nodes")
-    pivot = members.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = pivot.select("node", F.explode(F.array("lo", "hi")).alias("other")).filter("node != other")
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    mine = lambda p: nodes.select(F.col("node").alias(p), *[F.col(x).alias(f"{p}_{x}") for x in attributes])
-    pairs = pairs.join(mine("a"), "a").join(mine("b"), "b").filter(likely("a_", "b_")).select("a", "b")
-    first = materialise(verify(pairs), "links")
-    comps = materialise(connected_components(first), "components")
-
-    placed = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialise(placed.select("key", "node", "component", *attributes), "placed")
-    by = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = by.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
-    main = materialise(main.filter("parts > 1").select("key", F.col("most.component").alias("main")), "main")
-    torn = placed.join(main, "key")
-    few = torn.filter("component != main").select("key", F.col("node").alias("a"), F.col("component").alias("a_c"), *[F.col(x).alias(f"a_{x}") for x in attributes])
-    all_ = torn.select("key", F.col("node").alias("b"), (F.col("component") == F.col("main")).alias("b_main"), F.col("component").alias("b_c"), *[F.col(x).alias(f"b_{x}") for x in attributes])
+    """``node, component`` over the verified links between nodes that share a key; no link is lost.
+
+    ``members(key, node, size)`` comes from ``shared_buckets``; ``attributes(node, ...)`` has a row or
+    more for each node; ``likely(a_, b_)`` is a cheap necessary condition on attributes with those prefixes;
+    ``verify(pairs(a, b))`` gives the true links.
+
+    Pairs inside one component add nothing, so groups of copies are first gathered without listing their
+    pairs: in ``rounds`` rounds every node is held against one pivot of each of its buckets, from the
+    bucket's largest component. The first pivots are the nodes that share most buckets, as the original
+    among altered copies does; later ones are drawn by hash. What can be missing then are links between
+    components: in buckets that span several, the nodes outside the largest are held against all nodes of
+    other components, under ``likely`` within the join, which is exhaustive."""
+    columns = [c for c in attributes.columns if c != "node"]
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    degree = materialise(degree, "degrees")
+    nodes = materialise(attributes.join(degree.select("node"), "node", "left_semi"), "nodes")
+    mine = lambda p: nodes.select(F.col("node").alias(p), *[F.col(x).alias(f"{p}_{x}") for x in columns])
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    comps = None
+
+    def torn(order: Column) -> DataFrame:
+        """Rows of buckets with several components: ``key, node, component, main, pivot``."""
+        placed = members.join(degree, "node")
+        if comps is None:
+            placed = placed.withColumn("component", F.col("node"))
+        else:
+            placed = placed.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = materialise(placed.select("key", "node", "component", order.alias("rank")), "placed")
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("rank", "node")).alias("top"))
+        main = parts.groupBy("key").agg(F.max(F.struct("n", "top", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        return placed.join(main.select("key", "m.top", F.col("m.component").alias("main")), "key").select("key", "node", "component", "main", F.col("top.node").alias("pivot"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        if comps is not None:
+            stars = comps.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = stars.unionByName(links.select("a", "b"))
+        return materialise(connected_components(links), "components")
+
+    for k in range(rounds):
+        pairs = torn(F.col("degree") if k == 0 else F.xxhash64("node", F.lit(k))).filter("component != main")
+        pairs = pairs.select(*ordered("node", "pivot")).distinct()
+        pairs = pairs.join(mine("a"), "a").join(mine("b"), "b").filter(likely("a_", "b_")).select("a", "b")
+        links = materialise(verify(pairs), "links")
+        if links.isEmpty():
+            break
+        comps = joined(links)
+
+    rest = materialise(torn(F.xxhash64("node")).select("key", "node", "component", "main"), "torn")
+    rest = rest.join(nodes, "node")
+    few = rest.filter("component != main").select("key", F.col("node").alias("a"), F.col("component").alias("a_c"), *[F.col(x).alias(f"a_{x}") for x in columns])
+    every = rest.select(F.col("key").alias("k"), F.col("node").alias("b"), (F.col("component") == F.col("main")).alias("b_main"), F.col("component").alias("b_c"), *[F.col(x).alias(f"b_{x}") for x in columns])
     once = F.col("b_main") | (F.col("a") < F.col("b"))
-    cross = few.join(all_, (few.key == all_.key) & (F.col("a_c") != F.col("b_c")) & once & likely("a_", "b_"))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialise(verify(cross), "links")
-    if second.isEmpty():
-        return comps
-    stars = comps.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialise(connected_components(stars.unionByName(second.select("a", "b"))), "components")
+    cross = few.join(every, (F.col("key") == F.col("k")) & (F.col("a_c") != F.col("b_c")) & once & likely("a_", "b_"))
+    links = materialise(verify(cross.select(*ordered("a", "b")).distinct()), "links")
+    if not links.isEmpty():
+        comps = joined(links)
+    if comps is None:
+        comps = materialise(connected_components(links), "components")
+    return comps

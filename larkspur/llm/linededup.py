@@ -100,7 +100,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("sim").alias("sim"), F.max("size").alias("size"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keyed = classes.filter(F.col("sim").isNotNull()).select(F.explode(_keys(F.col("sim"))).alias("key"), "node", "sim", "size")
+    keyed = classes.filter(F.col("sim").isNotNull()).select(F.explode(_keys(F.col("sim"))).alias("key"), "node")
     buckets = shared_buckets(keyed)
 
     def likely(a: str, b: str) -> Column:
@@ -123,7 +123,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         apart = F.levenshtein("a_norm", "b_norm")
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= limit).select("a", "b")
 
-    comps = linked_components(buckets, ["sim", "size"], likely, verify)
+    comps = linked_components(buckets, classes.select("node", "sim", "size"), likely, verify)
     grouped = classes.join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
     keeper = grouped.groupBy("group").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     doomed = materialise(grouped.join(keeper, "group").select("k1", "k2", "keep"), "doomed")

@@ -3,11 +3,12 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles (of the whole sequence, if it has
 fewer words). Documents with equal sets are one class, represented by its smallest id, before anything is
 compared. Each class gets ``BANDS * ROWS`` minima under universal hashes; a band of ROWS minima is a bucket
-key. At similarity 0.75 a pair misses all 32 bands of 4 rows with probability 5e-6. One bit of every
-minimum makes a 128-bit signature that travels with the key, so that pairs are checked by size and
-signature inside the join: more than ``MAX_BITS`` unequal bits (5 standard deviations away from what 0.75
-gives) end a pair. What is left is confirmed on the full sets, which are made again from the texts of those
-documents alone, since all sets together are larger than the texts.
+key. At similarity 0.75 a pair misses all 32 bands of 4 rows with probability 5e-6. Pairs are then checked
+by size and by two signatures inside the join: one bit of every minimum makes 128 bits, of which more than
+``MAX_BITS`` unequal ones (5 standard deviations away from what 0.75 gives) end a pair; and the parities of
+the set's members over ``PARITY`` bins, of which no more can be unequal than members are. What is left is
+confirmed on the full sets, which are made again from the texts of those documents alone, since all sets
+together are larger than the texts.
 
 Defined results: null text, or one without words, has an empty set, is linked with nothing and is its own
 component. Rows that repeat a document id are one document: they are linked if any of them is. A null id
@@ -29,6 +30,7 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 MAX_BITS = 36
+PARITY = 2048
 
 _rng = np.random.default_rng(20240101)
 _MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -57,11 +59,11 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """``doc_id, n, d1, d2, s1, s2, bands`` of every row."""
+    """``doc_id, n, d1, d2, s1, s2, bands, parity`` of every row."""
     hashes = WordHashes()
 
     def rows(batch):
-        n, digest, bits, bands = [], [], [], []
+        n, digest, bits, bands, parity = [], [], [], [], []
         for raw in utf8(batch):
             s = shingle_set(raw, hashes)
             n.append(len(s))
@@ -69,9 +71,12 @@ def _signatures(texts: DataFrame) -> DataFrame:
                 digest.append((0, 0))
                 bits.append((0, 0))
                 bands.append(None)
+                parity.append(None)
                 continue
             d = xxhash.xxh3_128_digest(s.tobytes())
             digest.append(np.frombuffer(d, np.int64))
+            odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+            parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             low = mix(minima(s))
             bits.append(np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.int64))
             key = _LANES.copy()
@@ -79,10 +84,10 @@ def _signatures(texts: DataFrame) -> DataFrame:
                 key = mix(key + low[k * BANDS : (k + 1) * BANDS])
             bands.append(key.view(np.int64))
         d, b = np.array(digest, np.int64).reshape(-1, 2), np.array(bits, np.int64).reshape(-1, 2)
-        cols = [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x) for x in (d[:, 0], d[:, 1], b[:, 0], b[:, 1])), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "s1", "s2", "bands"])
+        cols = [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x) for x in (d[:, 0], d[:, 1], b[:, 0], b[:, 1])), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, parity))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "s1", "s2", "bands", "parity"])
 
-    return map_arrow(texts, rows, "doc_id long, n long, d1 long, d2 long, s1 long, s2 long, bands array<long>")
+    return map_arrow(texts, rows, "doc_id long, n long, d1 long, d2 long, s1 long, s2 long, bands array<long>, parity array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -96,9 +101,13 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _likely(a: str, b: str):
-    unequal = F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
-    size = 100 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= PERCENT * F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
-    return size & (unequal <= MAX_BITS)
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    size = 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+    bits = apart(F.col(f"{a}s1"), F.col(f"{b}s1")) + apart(F.col(f"{a}s2"), F.col(f"{b}s2")) <= MAX_BITS
+    odd = sum((apart(F.get(f"{a}parity", F.lit(k)), F.get(f"{b}parity", F.lit(k))) for k in range(1, PARITY // 64)), apart(F.get(f"{a}parity", F.lit(0)), F.get(f"{b}parity", F.lit(0))))
+    # similarity p % means that unequal members are at most (100 - p) / (100 + p) of both sizes
+    return size & bits & ((100 + PERCENT) * odd <= (100 - PERCENT) * (n_a + n_b))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,12 +116,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialise(_signatures(texts), "signatures")
     classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     one = F.col("doc_id") == F.col("rep")
-    placed = signed.join(classes, ["d1", "d2"], "left").select("doc_id", "n", "rep", *[F.when(one, F.col(c)).alias(c) for c in ("s1", "s2", "bands")])
+    placed = signed.join(classes, ["d1", "d2"], "left").select("doc_id", "n", "rep", *[F.when(one, F.col(c)).alias(c) for c in ("s1", "s2", "bands", "parity")])
     placed = materialise(placed, "classes")
     release(signed)
 
-    keyed = placed.filter(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), F.col("rep").alias("node"), "n", "s1", "s2")
-    buckets = shared_buckets(keyed)
+    reps = placed.filter(F.col("bands").isNotNull())
+    buckets = shared_buckets(reps.select(F.explode("bands").alias("key"), F.col("rep").alias("node")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
@@ -126,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = F.size("a_set") + F.size("b_set") - both
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= PERCENT * whole).select("a", "b").distinct()
 
-    comps = linked_components(buckets, ["n", "s1", "s2"], _likely, verify)
+    comps = linked_components(buckets, reps.select(F.col("rep").alias("node"), "n", "s1", "s2", "parity"), _likely, verify)
     out = placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("node")).join(comps, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
