@@ -12,8 +12,8 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere els
   with every level, which yields the entries that recur, and then equal-sized levels are merged.
 * Entries whose whole neighbourhood recurs are removed as they are. Where only the prefix is shared (the
   edges of a repeat), the texts of those neighbourhoods are cut into blocks of ``BLOCK`` windows aligned to
-  the anchor; blocks are counted by what their windows have in common, and then the windows of shared
-  blocks by 128-bit hashes. Everything is counted by
+  the anchor. Blocks that recur whole are removed; where unequal blocks have in common what all windows of
+  a block have, the windows of one of each are counted. All hashes that decide have 128 bits. Everything is counted by
   groupBy with combining, so a passage that a third of all documents share never meets in one task.
 
 Texts are known by 128 bits of their SHA-256, so that null and repeated document ids do no harm.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import id_text, map_arrow, materialise, mix, release, utf8
 
 LENGTH, PREFIX, BLOCK = 400, 100, 16
-PIECE = 4 << 20  # bytes of a text that are worked on at once
+PIECE = 1 << 19  # bytes that are worked on at once
 BATCHES = 4
 
 _U = np.uint64
@@ -191,12 +191,15 @@ def _edge_texts(texts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _near(batch):
-    """(columns as arrays, offset of each neighbourhood in the joint bytes, prefix sums of both hashes)."""
-    cols = {n: batch.column(n).to_numpy() for n in batch.schema.names if n not in ("key", "near")}
+    """Parts of a batch of about PIECE bytes: (rows, columns as arrays, offset of each neighbourhood in the
+    joint bytes, prefix sums of both hashes)."""
     data = list(utf8(batch, "near"))
     size = np.array([len(x) for x in data], np.int64)
-    joint = np.frombuffer(b"".join(data), np.uint8)
-    return cols, np.cumsum(size) - size, [(r, r.sums(joint)) for r in rolling()]
+    part = np.cumsum(size) // PIECE
+    for first, last in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(data)]))), strict=True):
+        cols = {n: batch.column(n).to_numpy()[first:last] for n in batch.schema.names if n not in ("key", "near")}
+        joint = np.frombuffer(b"".join(data[first:last]), np.uint8)
+        yield np.arange(first, last), cols, np.cumsum(size[first:last]) - size[first:last], [(r, r.sums(joint)) for r in rolling()]
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,34 +210,38 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _blocks(near: DataFrame) -> DataFrame:
-    """``id, i1, i2, core`` of the blocks of windows of each neighbourhood: ``core`` is the hash of what all
-    windows of the full block have in common."""
-
-    def rows(batch):
-        c, off, sums = _near(batch)
-        row, q = _spread((c["lo"] - c["a"]) // BLOCK, (c["hi"] - c["a"]) // BLOCK)
-        start = c["a"][row] + q * BLOCK
-        i1, i2 = np.maximum(start, c["lo"][row]), np.minimum(start + BLOCK - 1, c["hi"][row])
-        shift = off[row] - c["lo"][row]
-        hashed, prefix = sums[0]
-        core = mix(hashed.of(prefix, start + BLOCK - 1 + shift, start + LENGTH + shift) ^ mix((q + 2**40).astype(_U)))
-        cols = [c["id"][row], i1, i2, core.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "i1", "i2", "core"])
-
-    return map_arrow(near, rows, "id long, i1 long, i2 long, core long")
+    """``key, id, i1, i2, core, b1, b2`` of the blocks of windows of each neighbourhood: ``core`` is the hash of
+    what all windows of the full block have in common, (b1, b2) that of the block's own bytes."""
+
+    def rows(batches):
+        for batch in batches:
+            for own, c, off, sums in _near(batch):
+                row, q = _spread((c["lo"] - c["a"]) // BLOCK, (c["hi"] - c["a"]) // BLOCK)
+                start = c["a"][row] + q * BLOCK
+                i1, i2 = np.maximum(start, c["lo"][row]), np.minimum(start + BLOCK - 1, c["hi"][row])
+                shift = off[row] - c["lo"][row]
+                salt = mix((q + 2**40).astype(_U))
+                core = mix(sums[0][0].of(sums[0][1], start + BLOCK - 1 + shift, start + LENGTH + shift) ^ salt)
+                whole = [mix(r.of(s, i1 + shift, i2 + LENGTH + shift) ^ mix(salt + (i1 - start).astype(_U))) for r, s in sums]
+                cols = [c["id"][row], i1, i2, *(x.view(np.int64) for x in (core, *whole))]
+                key = batch.column("key").take(pa.array(own[row]))
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(x) for x in cols)], ["key", "id", "i1", "i2", "core", "b1", "b2"])
+
+    return near.mapInArrow(rows, "key binary, id long, i1 long, i2 long, core long, b1 long, b2 long")
 
 
 def _windows(near: DataFrame) -> DataFrame:
     """``key, i, w1, w2``: hashes of the windows i1 to i2 of each row."""
 
-    def rows(batch):
-        c, off, sums = _near(batch)
-        row, i = _spread(c["i1"], c["i2"])
-        at = i + off[row] - c["lo"][row]
-        hashed = [pa.array(r.of(s, at, at + LENGTH).view(np.int64)) for r, s in sums]
-        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(i), *hashed], ["key", "i", "w1", "w2"])
+    def rows(batches):
+        for batch in batches:
+            for own, c, off, sums in _near(batch):
+                row, i = _spread(c["i1"], c["i2"])
+                at = i + off[row] - c["lo"][row]
+                hashed = [pa.array(r.of(s, at, at + LENGTH).view(np.int64)) for r, s in sums]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(own[row])), pa.array(i), *hashed], ["key", "i", "w1", "w2"])
 
-    return map_arrow(near.select("key", "lo", "i1", "i2", "near"), rows, "key binary, i long, w1 long, w2 long")
+    return near.select("key", "lo", "i1", "i2", "near").mapInArrow(rows, "key binary, i long, w1 long, w2 long")
 
 
 def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -258,14 +265,16 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
     stand = hits.filter("full AND torn").groupBy(*index.ENTRY).agg(F.min(F.struct("key", "a", "lo", "hi")).alias("x")).select("x.*", F.lit(False).alias("ask"))
     near = _edge_texts(texts, edges.unionByName(stand).select("key", "a", "lo", "hi").distinct())
     near = materialise(near.withColumn("id", F.monotonically_increasing_id()), "near")
-    blocks = materialise(_blocks(near.select("id", "a", "lo", "hi", "near")), "blocks")
-    core = blocks.groupBy("core").count().filter("count > 1").select("core")
-    shared = blocks.join(core, "core", "left_semi").select("id", "i1", "i2")
-    windows = materialise(_windows(near.join(shared, "id")), "windows")
-    release(near, blocks)
+    blocks = materialise(_blocks(near), "blocks")
+    kinds = blocks.groupBy("core", "b1", "b2").agg(F.count("*").alias("n"), F.min(F.struct("id", "i1", "i2")).alias("one"))
+    kinds = materialise(kinds, "kinds")
+    unequal = kinds.groupBy("core").count().filter("count > 1").select("core")
+    ask = kinds.join(unequal, "core", "left_semi").select("one.*")
+    windows = materialise(_windows(near.join(ask, "id")), "windows")
     again = windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-    rest = windows.join(again, ["w1", "w2"], "left_semi")
-    return spans.unionByName(rest.select("key", F.col("i").alias("s"), (F.col("i") + LENGTH).alias("e")))
+    single = windows.join(again, ["w1", "w2"], "left_semi").select("key", F.col("i").alias("s"), (F.col("i") + LENGTH).alias("e"))
+    whole = blocks.join(kinds.filter("n > 1").select("core", "b1", "b2"), ["core", "b1", "b2"], "left_semi")
+    return spans.unionByName(whole.select("key", F.col("i1").alias("s"), (F.col("i2") + LENGTH).alias("e"))).unionByName(single)
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
