@@ -65,15 +65,19 @@ def text_measures(raw: bytes) -> tuple[int, int, int, int, int]:
 
 def with_measures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, as ``_k0, _k1, ...``, and its measures."""
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    named = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    source = f"_k{keep.index(text_col)}" if text_col in keep else "_text"
+    if source == "_text":
+        named.append(F.col(f"`{text_col}`").cast("string").alias("_text"))
+    slim = docs.select(*named)
+    names = [f"_k{i}" for i in range(len(keep))]
 
     def rows(batch):
-        got = np.array([text_measures(raw) for raw in utf8(batch, "_text")], np.int64).reshape(-1, 5)
-        names = [f"_k{i}" for i in range(len(keep))]
+        got = np.array([text_measures(raw) for raw in utf8(batch, source)], np.int64).reshape(-1, 5)
         cols = [batch.column(n) for n in names] + [pa.array(got[:, k]) for k in range(5)]
-        return pa.RecordBatch.from_arrays(cols, [*names, *(m.split()[0] for m in MEASURES.split(", "))])
+        return pa.RecordBatch.from_arrays(cols, [*names, *_measure_names()])
 
-    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in slim.schema.fields[:-1])
+    kept = "".join(f"{n} {slim.schema[n].dataType.simpleString()}, " for n in names)
     return map_arrow(slim, rows, kept + MEASURES)
 
 
