@@ -10,13 +10,13 @@ of minima over sum of maxima, ``SIMILAR`` percent or more.
    keeps all shared ones. Up to ``IN_PLAN`` item shingles stand in the plan as a hash set; more of them are
    joined to the exploded shingles instead.
 2. Each such window gets a SimHash of its shingles and meets the items of its size through a multi-index:
-   the 64 bits are cut into ``BLOCKS`` blocks of 8, of which fingerprints within ``RADIUS`` differ by at most
+   its bits are cut into ``BLOCKS`` blocks of 8, of which fingerprints within ``RADIUS`` differ by at most
    ``RADIUS // BLOCKS`` bits in one at least, and the item side lists every block value that near its own.
    Equal fingerprints look items up once.
 3. Pairs within RADIUS are verified by the exact similarity. The window with the highest similarity (in
    millionths), the earliest of equal ones, stands for a document and item.
 
-At similarity 0.75 fingerprints differ in 11 of 64 bits on average, so RADIUS is 4 deviations away.
+At similarity 0.75 fingerprints differ in 11 of 63 bits on average, so RADIUS is 4 deviations away.
 
 Defined results: null texts and items have no words. An item without words matches nothing. Repeated
 document ids are one document, whose best window counts; a null id is reported as null. Equal items are

@@ -2,7 +2,7 @@
 
 A line is normalised (lower case, each run of anything but letters and digits to one space). Lines of at
 least ``MIN_WORDS`` words take part; shorter ones are always kept. Equal normalised lines are one class,
-known by a 64-bit and a 32-bit hash. Each class has a 64-bit SimHash of its words. The SimHash is cut into
+known by a 64-bit and a 32-bit hash. Each class has a 63-bit SimHash of its words. The SimHash is cut into
 ``PARTS`` parts; within Hamming distance ``RADIUS`` at least ``PARTS - RADIUS`` of them are equal, so every
 choice of that many parts is a bucket key and no pair within the radius is missed. Pairs within the radius
 are verified by edit similarity, ``100 * levenshtein <= (100 - SIMILAR) * length of the longer``, on the
@@ -10,10 +10,9 @@ normalised lines. Of each connected group the occurrence with the smallest (docu
 stays. Only classes of at least ``FUZZY_WORDS`` words are compared fuzzily, since in shorter lines one word
 is a large part of the meaning.
 
-SimHash counters are packed: eight 8-bit lanes to a long, added word by word; lines of more than 127 words
-use four 16-bit lanes to a long instead, up to 32,767 words (so that no sum reaches the sign bit), and beyond that in blocks of
-32,767 words whose SimHashes vote. Groups are never collected: classes are counted by combining aggregates, links
-are found through pivots (``components``), and what is written or shuffled are rows of a few numbers.
+SimHash counters are packed several to a long (``_majority``). Groups are never collected: classes are
+counted by combining aggregates, links are found through pivots (``components``), and what is written or
+shuffled are rows of a few numbers.
 
 Defined results: null text has no lines. A null document id takes part as the largest id. Rows that repeat
 a document id count as one more copy of their lines, after the first by the text's hash.
@@ -31,7 +30,7 @@ from larkspur.llm.components import linked_components, shared_buckets
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
 PARTS, RADIUS, SIMILAR = 5, 3, 90
-_CUTS = [0, 13, 26, 39, 52, 64]
+_CUTS = [0, 13, 26, 39, 51, 63]
 _LAST_ID = 2**63 - 1
 
 
@@ -39,34 +38,29 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _lanes(words: Column, width: int) -> Column:
-    """SimHash bits of an array of word hashes, by packed counters of ``width`` bits."""
-    mask = F.lit(sum(1 << at for at in range(0, 64, width))).cast("long")
+def _majority(hashes: Column, width: int) -> Column:
+    """Bits 0 to 62 that more than half of the hashes have; counters of ``width`` bits (a divisor of 63) are
+    packed side by side, so that one addition counts 63 / width bits and no sum reaches the sign bit."""
+    ones = F.lit(sum(1 << at for at in range(0, 63, width))).cast("long")
     zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(width)])
-    add = lambda acc, h: F.struct(*[(acc[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(mask)).alias(f"c{k}") for k in range(width)])
-    half = F.shiftright(F.size(words), 1)
+    add = lambda acc, h: F.struct(*[(acc[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(ones)).alias(f"c{k}") for k in range(width)])
+    # a counter above half reaches its top bit when this is added
+    lift = ones * (F.lit((1 << (width - 1)) - 1).cast("long") - F.shiftright(F.size(hashes), 1))
 
     def bits(acc):
         out = F.lit(0).cast("long")
         for k in range(width):
-            for at in range(0, 64, width):
-                n = F.shiftrightunsigned(acc[f"c{k}"], at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-                bit = (1 << (at + k)) - (1 << 64 if at + k == 63 else 0)
-                out = out.bitwiseOR(F.when(n > half, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+            top = F.shiftrightunsigned(acc[f"c{k}"] + lift, width - 1).bitwiseAND(ones)
+            out = out.bitwiseOR(F.shiftleft(top, k))
         return out
 
-    return F.aggregate(words, zero, add, bits)
+    return F.aggregate(hashes, zero, add, bits)
 
 
 def simhash(hashes: Column) -> Column:
-    """64-bit SimHash of an array of 64-bit hashes: bit k is set where more than half of them have it."""
-    most = 32_767
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / most).cast("int")), lambda b: F.slice(hashes, b * most + 1, F.lit(most)))
-    return (
-        F.when(F.size(hashes) < 128, _lanes(hashes, 8))
-        .when(F.size(hashes) <= most, _lanes(hashes, 16))
-        .otherwise(_lanes(F.transform(blocks, lambda b: _lanes(b, 16)), 16))
-    )
+    """63-bit SimHash of an array of 64-bit hashes: bit k is set where more than half of them have it."""
+    n = F.size(hashes)
+    return F.when(n < 1 << 8, _majority(hashes, 9)).when(n < 1 << 20, _majority(hashes, 21)).otherwise(_majority(hashes, 63))
 
 
 def _keys(sim: Column) -> Column:
