@@ -74,7 +74,8 @@ def _windows(words: DataFrame, items: DataFrame, width: int) -> DataFrame:
     run = _settled(words, "doc_id", sh=shingles(width))
     cut = lambda i: F.struct(i.alias("pos"), F.get("sh", i).alias("h"), F.slice("sh", i + 1, F.lit(longest)).alias("win"))
     if len(held) <= IN_PLAN:
-        found = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.get("sh", i).isin([r[0] for r in held]))
+        known = ", ".join(f"{r[0]}L" for r in held) or "NULL"
+        found = F.expr(f"filter(sequence(0, size(sh) - 1), i -> get(sh, i) IN ({known}))")
         hits = run.filter(F.size("sh") > 0).select("doc_id", "sh", found.alias("at")).filter(F.size("at") > 0)
         hits = hits.select("doc_id", F.inline(F.transform("at", cut))).join(starts, "h")
     else:
