@@ -79,10 +79,10 @@ def _windows(words: DataFrame, items: DataFrame, width: int) -> DataFrame:
         hits = run.filter(F.size("sh") > 0).select("doc_id", "sh", found.alias("at")).filter(F.size("at") > 0)
         hits = hits.select("doc_id", F.inline(F.transform("at", cut))).join(starts, "h")
     else:
-        tagged = run.filter(F.size("sh") > 0).withColumn("row", F.monotonically_increasing_id())
-        spots = tagged.select("row", F.posexplode("sh").alias("i", "h")).join(starts.select("h").distinct(), "h")
-        spots = spots.groupBy("row").agg(F.array_sort(F.collect_list("i")).alias("at"))
-        hits = tagged.join(spots, "row").select("doc_id", F.inline(F.transform("at", cut))).join(starts, "h")
+        tagged = run.filter(F.size("sh") > 0).withColumn("own", F.xxhash64("sh"))  # equal rows have equal hits
+        spots = tagged.select("own", F.posexplode("sh").alias("i", "h")).join(starts.select("h").distinct(), "h")
+        spots = spots.groupBy("own").agg(F.array_sort(F.collect_set("i")).alias("at"))
+        hits = tagged.join(spots, "own").select("doc_id", F.inline(F.transform("at", cut))).join(starts, "h")
     return hits.select("doc_id", "pos", F.lit(width).alias("width"), "n", F.slice("win", F.lit(1), F.col("n")).alias("win"))
 
 
