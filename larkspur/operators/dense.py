@@ -55,8 +55,10 @@ def _blocks(rows) -> Iterator[tuple[list, np.ndarray]]:
 
 
 def _best(candidates, ids, matrix, k, digits, chunk_type, question_type):
+    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    kind = to_arrow_type(question_type)
     schema = StructType([StructField("question_id", question_type), StructField("chunk_id", chunk_type), StructField("score", DoubleType())])
 
     def run(batches):
@@ -76,7 +78,7 @@ def _best(candidates, ids, matrix, k, digits, chunk_type, question_type):
                 cols.append(np.full(len(at), q))
             rows, cols = np.concatenate(rows), np.concatenate(cols)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[c] for c in cols]), batch.column("chunk_id").take(pa.array(rows)), pa.array(scores[rows, cols])], ["question_id", "chunk_id", "score"]
+                [pa.array([ids[c] for c in cols], kind), batch.column("chunk_id").take(pa.array(rows)), pa.array(scores[rows, cols])], ["question_id", "chunk_id", "score"]
             )
 
     return candidates.mapInArrow(run, schema)
