@@ -49,6 +49,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 def shared_buckets(members: DataFrame) -> DataFrame:
     """``key, node, size`` of the rows of ``members(key, node)`` whose key has several nodes, written out."""
     many = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    many = materialise(many, "keys")  # an aggregate inside the join's stage would keep AQE from splitting a hot key
     return materialise(members.join(many, "key").select("key", "node", "size"), "buckets")
 
 
@@ -89,7 +90,8 @@ def linked_components(
         placed = materialise(placed.select("key", "node", "component", order.alias("rank")), "placed")
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("rank", "node")).alias("top"))
         main = parts.groupBy("key").agg(F.max(F.struct("n", "top", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-        return placed.join(main.select("key", "m.top", F.col("m.component").alias("main")), "key").select("key", "node", "component", "main", F.col("top.node").alias("pivot"))
+        main = materialise(main.select("key", F.col("m.top.node").alias("pivot"), F.col("m.component").alias("main")), "main")
+        return placed.join(main, "key").select("key", "node", "component", "main", "pivot")
 
     def joined(links: DataFrame) -> DataFrame:
         if comps is not None:

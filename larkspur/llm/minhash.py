@@ -114,9 +114,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     texts = id_text(docs, id_col, text_col)
     signed = materialise(_signatures(texts), "signatures")
-    classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # classes of several documents alone, written first: then a hot class can be split, or the table broadcast
+    classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = materialise(classes.filter("copies > 1").select("d1", "d2", "first"), "copies")
+    rep = F.when(F.col("n") > 0, F.coalesce("first", "doc_id"))
     one = F.col("doc_id") == F.col("rep")
-    placed = signed.join(classes, ["d1", "d2"], "left").select("doc_id", "n", "rep", *[F.when(one, F.col(c)).alias(c) for c in ("s1", "s2", "bands", "parity")])
+    placed = signed.join(classes, ["d1", "d2"], "left").withColumn("rep", rep).select("doc_id", "n", "rep", *[F.when(one, F.col(c)).alias(c) for c in ("s1", "s2", "bands", "parity")])
     placed = materialise(placed, "classes")
     release(signed)
 

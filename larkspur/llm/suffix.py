@@ -152,8 +152,11 @@ class SuffixLevels:
         for more in met[1:]:
             total = total.unionByName(more)
         total = total.groupBy(*self.ENTRY).agg(F.sum("n").alias("n"))
-        twice = total.groupBy("h").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("all > 1")
-        matches = materialise(total.join(twice, "h").select(*self.ENTRY, "n"), "matches")
+        total = materialise(total, "met")
+        twice = total.groupBy("h").agg(F.sum("n").alias("all")).filter("all > 1").select("h")
+        twice = materialise(twice, "heads")  # written first, so that a hot prefix can be split in the join
+        matches = materialise(total.join(twice, "h", "left_semi"), "matches")
+        release(total, twice)
         while self.levels and self.levels[-1][0] == rank:
             _, level = self.levels.pop()
             merged = self._written(level.unionByName(fresh).groupBy(*self.ENTRY).agg(F.sum("n").alias("n")))
@@ -254,11 +257,12 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
     known = found[0]
     for more in found[1:]:
         known = known.unionByName(more)
-    entries = known.groupBy(*index.ENTRY).agg(F.max("n").alias("n"))
-    torn = entries.groupBy("h").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    status = entries.join(torn, "h").select(*index.ENTRY, (F.col("n") > 1).alias("full"), (F.col("least") == 1).alias("torn"))
+    entries = materialise(known.groupBy(*index.ENTRY).agg(F.max("n").alias("n")), "entries")
+    torn = materialise(entries.filter("n = 1").select("h").distinct().withColumn("torn", F.lit(True)), "torn")
+    status = entries.join(torn, "h", "left").select(*index.ENTRY, (F.col("n") > 1).alias("full"), F.coalesce("torn", F.lit(False)).alias("torn"))
+    status = materialise(status, "status")
     hits = materialise(suffixes.join(status, [*index.ENTRY]).select("key", "h", "c1", "c2", "a", "lo", "hi", "full", "torn"), "hits")
-    release(suffixes, *found)
+    release(suffixes, entries, torn, status, *found)
 
     spans = hits.filter("full").select("key", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
     edges = hits.filter("NOT full").select("key", "a", "lo", "hi", F.lit(True).alias("ask"))
