@@ -80,9 +80,10 @@ def linked_components(
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     comps = None
 
-    def torn(order: Column) -> DataFrame:
-        """Rows of buckets with several components: ``key, node, component, main, pivot``."""
-        placed = members.join(degree, "node")
+    def torn(members: DataFrame, order: Column) -> DataFrame:
+        """Rows of buckets with several components: ``key, node, component, main, pivot``. A bucket that is in
+        one component stays so, so that each round looks at what the one before has left."""
+        placed = members.select("key", "node").join(degree, "node")
         if comps is None:
             placed = placed.withColumn("component", F.col("node"))
         else:
@@ -91,7 +92,7 @@ def linked_components(
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("rank", "node")).alias("top"))
         main = parts.groupBy("key").agg(F.max(F.struct("n", "top", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
         main = materialise(main.select("key", F.col("m.top.node").alias("pivot"), F.col("m.component").alias("main")), "main")
-        return placed.join(main, "key").select("key", "node", "component", "main", "pivot")
+        return materialise(placed.join(main, "key").select("key", "node", "component", "main", "pivot"), "torn")
 
     def joined(links: DataFrame) -> DataFrame:
         if comps is not None:
@@ -100,16 +101,15 @@ def linked_components(
         return materialise(connected_components(links), "components")
 
     for k in range(rounds):
-        pairs = torn(F.col("degree") if k == 0 else F.xxhash64("node", F.lit(k))).filter("component != main")
-        pairs = pairs.select(*ordered("node", "pivot")).distinct()
+        members = torn(members, F.col("degree") if k == 0 else F.xxhash64("node", F.lit(k)))
+        pairs = members.filter("component != main").select(*ordered("node", "pivot")).distinct()
         pairs = pairs.join(mine("a"), "a").join(mine("b"), "b").filter(likely("a_", "b_")).select("a", "b")
         links = materialise(verify(pairs), "links")
         if links.isEmpty():
             break
         comps = joined(links)
 
-    rest = materialise(torn(F.xxhash64("node")).select("key", "node", "component", "main"), "torn")
-    rest = rest.join(nodes, "node")
+    rest = torn(members, F.xxhash64("node")).select("key", "node", "component", "main").join(nodes, "node")
     few = rest.filter("component != main").select("key", F.col("node").alias("a"), F.col("component").alias("a_c"), *[F.col(x).alias(f"a_{x}") for x in columns])
     every = rest.select(F.col("key").alias("k"), F.col("node").alias("b"), (F.col("component") == F.col("main")).alias("b_main"), F.col("component").alias("b_c"), *[F.col(x).alias(f"b_{x}") for x in columns])
     once = F.col("b_main") | (F.col("a") < F.col("b"))

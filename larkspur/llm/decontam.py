@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialise
-from larkspur.llm.linededup import simhash
+from larkspur.llm.linededup import settled, simhash
 
 SHINGLE, SIMILAR = 5, 75
 RADIUS, BLOCKS = 24, 8
@@ -37,15 +37,10 @@ IN_PLAN = 20_000
 _MASKS = [m for m in range(256) if m.bit_count() <= RADIUS // BLOCKS]
 
 
-def _settled(df: DataFrame, *columns: str, **made: Column) -> DataFrame:
-    """Columns that are computed once: a generator stands between them and lambdas that use them."""
-    return df.select(*columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
-
-
 def with_words(df: DataFrame, text: str, *keep: str) -> DataFrame:
     flat = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     flat = df.select(*keep, flat.alias("flat")).filter("flat != ''")
-    return _settled(flat, *keep, words=F.transform(F.split("flat", " "), lambda w: F.xxhash64(w)))
+    return settled(flat, *keep, words=F.transform(F.split("flat", " "), lambda w: F.xxhash64(w)))
 
 
 def shingles(width: int) -> Column:
@@ -61,7 +56,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     of = F.lit(None).cast("array<bigint>")
     for w in range(1, SHINGLE + 1):
         of = F.when(F.col("width") == w, shingles(w)).otherwise(of)
-    out = _settled(words, "item_id", "width", item=of).withColumn("n", F.size("item"))
+    out = settled(words, "item_id", "width", item=of).withColumn("n", F.size("item"))
     return materialise(out.select("item_id", "width", "n", "item", simhash(F.col("item")).alias("fp")), "items")
 
 
@@ -71,7 +66,7 @@ def _windows(words: DataFrame, items: DataFrame, width: int) -> DataFrame:
     starts = materialise(starts, "starts")
     longest = starts.agg(F.max("n")).first()[0]
     held = starts.select("h").distinct().limit(IN_PLAN + 1).collect()
-    run = _settled(words, "doc_id", sh=shingles(width))
+    run = settled(words, "doc_id", sh=shingles(width))
     cut = lambda i: F.struct(i.alias("pos"), F.get("sh", i).alias("h"), F.slice("sh", i + 1, F.lit(longest)).alias("win"))
     if len(held) <= IN_PLAN:
         known = ", ".join(f"{r[0]}L" for r in held) or "NULL"

@@ -1,6 +1,6 @@
 """Fuzzy line dedup, on DataFrame and SQL functions alone.
 
-A line is normalised (lower case, each run of anything but letters and digits to one space). Lines of at
+A line is normalised (lower case, each run of anything but letters and digits to one space, none at the ends). Lines of at
 least ``MIN_WORDS`` words take part; shorter ones are always kept. Equal normalised lines are one class,
 known by a 64-bit and a 32-bit hash. Each class has a 63-bit SimHash of its words. The SimHash is cut into
 ``PARTS`` parts; within Hamming distance ``RADIUS`` at least ``PARTS - RADIUS`` of them are equal, so every
@@ -10,9 +10,11 @@ normalised lines. Of each connected group the occurrence with the smallest (docu
 stays. Only classes of at least ``FUZZY_WORDS`` words are compared fuzzily, since in shorter lines one word
 is a large part of the meaning.
 
-SimHash counters are packed several to a long (``_majority``). Groups are never collected: classes are
-counted by combining aggregates, links are found through pivots (``components``), and what is written or
-shuffled are rows of a few numbers.
+SimHash counters are packed several to a long (``_majority``). In lines of up to 255 words they are summed
+by an aggregate over the exploded words, which is compiled; only longer lines take a higher-order function.
+Groups are never collected: classes are counted by combining aggregates, links are found through pivots
+(``components``), and what is written or shuffled are rows of a few numbers, and once the texts of the
+documents that hold lines with a bucket in common.
 
 Defined results: null text has no lines. A null document id takes part as the largest id. Rows that repeat
 a document id count as one more copy of their lines, after the first by the text's hash.
@@ -29,32 +31,46 @@ from larkspur.llm.common import materialise, release
 from larkspur.llm.components import linked_components, shared_buckets
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
-PARTS, RADIUS, SIMILAR = 5, 3, 90
-_CUTS = [0, 13, 26, 39, 51, 63]
+PARTS, RADIUS, SIMILAR = 4, 2, 90
+_CUTS = [0, 16, 32, 48, 63]
 _LAST_ID = 2**63 - 1
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def words_of(line: Column) -> Column:
+    """Words of the normalised line, which is these with single spaces."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+
+
+def settled(df: DataFrame, *columns: str, **made: Column) -> DataFrame:
+    """Columns that are computed once: a generator stands between them and the filters and lambdas that use
+    them, into which the optimiser would otherwise copy them."""
+    return df.select(*columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
+def _ones(width: int) -> Column:
+    return F.lit(sum(1 << at for at in range(0, 63, width))).cast("long")
+
+
+def _lane(h: Column, k: int, width: int) -> Column:
+    """Bits k, k + width, ... of a hash, each in a counter of its own."""
+    return F.shiftrightunsigned(h, k).bitwiseAND(_ones(width))
+
+
+def _bits(counts: list[Column], n: Column, width: int) -> Column:
+    """Bits 0 to 62 whose counters, side by side in ``counts``, are above half of n."""
+    lift = _ones(width) * (F.lit((1 << (width - 1)) - 1).cast("long") - F.shiftright(n, 1))  # takes those to their top bit
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(counts):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(c + lift, width - 1).bitwiseAND(_ones(width)), k))
+    return out
 
 
 def _majority(hashes: Column, width: int) -> Column:
     """Bits 0 to 62 that more than half of the hashes have; counters of ``width`` bits (a divisor of 63) are
     packed side by side, so that one addition counts 63 / width bits and no sum reaches the sign bit."""
-    ones = F.lit(sum(1 << at for at in range(0, 63, width))).cast("long")
     zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(width)])
-    add = lambda acc, h: F.struct(*[(acc[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(ones)).alias(f"c{k}") for k in range(width)])
-    # a counter above half reaches its top bit when this is added
-    lift = ones * (F.lit((1 << (width - 1)) - 1).cast("long") - F.shiftright(F.size(hashes), 1))
-
-    def bits(acc):
-        out = F.lit(0).cast("long")
-        for k in range(width):
-            top = F.shiftrightunsigned(acc[f"c{k}"] + lift, width - 1).bitwiseAND(ones)
-            out = out.bitwiseOR(F.shiftleft(top, k))
-        return out
-
-    return F.aggregate(hashes, zero, add, bits)
+    add = lambda acc, h: F.struct(*[(acc[f"c{k}"] + _lane(h, k, width)).alias(f"c{k}") for k in range(width)])
+    return F.aggregate(hashes, zero, add, lambda acc: _bits([acc[f"c{k}"] for k in range(width)], F.size(hashes), width))
 
 
 def simhash(hashes: Column) -> Column:
@@ -84,11 +100,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``d, t, lines``: for each document (id and text hash) the numbers, from 0, of the lines to remove."""
     named = _documents(docs, id_col, text_col)
     lines = named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("d", "t", "pos", normalised(F.col("line")).alias("norm"))
-    lines = lines.select("d", "t", "pos", "norm", F.split("norm", " ").alias("words")).filter(F.size("words") >= MIN_WORDS)
-    lines = lines.select("d", "t", "pos", "norm", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    sim = F.when(F.size("hashes") >= FUZZY_WORDS, simhash(F.col("hashes")))
-    lines = materialise(lines.select("d", "t", "pos", F.xxhash64("norm").alias("k1"), F.hash("norm").alias("k2"), F.length("norm").alias("size"), sim.alias("sim")), "lines")
+    lines = settled(lines, "d", "t", "pos", words=words_of(F.col("line"))).filter(F.size("words") >= MIN_WORDS)
+    lines = lines.select(
+        F.monotonically_increasing_id().alias("line"), "d", "t", "pos", F.size("words").alias("n"), F.length(F.array_join("words", " ")).alias("size"),
+        F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"),
+        F.when(F.size("words") > 255, simhash(F.transform("words", lambda w: F.xxhash64(w)))).alias("long"),
+        F.when(F.size("words").between(FUZZY_WORDS, 255), F.col("words")).alias("short"),
+    )
+    lines = lines.select(*[c for c in lines.columns if c != "short"], F.explode_outer("short").alias("word"))  # a row has its number by now
+    lines = lines.withColumn("h", F.when(F.col("word").isNotNull(), F.xxhash64("word"))).drop("word")
+    summed = lines.groupBy("line").agg(*[F.max(c).alias(c) for c in ("d", "t", "pos", "n", "size", "k1", "k2", "long")], *[F.sum(_lane(F.col("h"), k, 9)).alias(f"c{k}") for k in range(9)])
+    sim = F.coalesce("long", _bits([F.col(f"c{k}") for k in range(9)], F.col("n"), 9))
+    lines = materialise(summed.select("d", "t", "pos", "k1", "k2", "size", sim.alias("sim")), "lines")
 
     place = F.struct("d", "t", "pos")
     classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("sim").alias("sim"), F.max("size").alias("size"))
@@ -101,21 +124,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         near = F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= RADIUS
         return near & (100 * F.abs(F.col(f"{a}size") - F.col(f"{b}size")) <= (100 - SIMILAR) * F.greatest(f"{a}size", f"{b}size"))
 
+    used = buckets.select("node").distinct().join(classes.select("node", "first"), "node")
+    spots = used.groupBy("first.d", "first.t").agg(F.collect_set(F.struct("first.pos", "node")).alias("spots"))
+    held = named.join(materialise(spots, "spots"), ["d", "t"]).select(F.split("text", "\n").alias("all"), F.explode("spots").alias("x"))
+    held = held.select(F.col("x.node").alias("node"), F.array_join(words_of(F.element_at("all", F.col("x.pos") + 1)), " ").alias("norm"))
+    held = materialise(held, "norms")
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first"), "node")
-        used = materialise(used.select("node", F.col("first.d").alias("d"), F.col("first.t").alias("t"), F.col("first.pos").alias("pos")), "used")
-        if used.isEmpty():
-            return pairs
-        spots = used.groupBy("d", "t").agg(F.collect_set(F.struct("pos", "node")).alias("spots"))
-        held = named.join(spots, ["d", "t"]).select(F.split("text", "\n").alias("all"), F.explode("spots").alias("x"))
-        held = held.select(F.col("x.node").alias("node"), normalised(F.element_at("all", F.col("x.pos") + 1)).alias("norm")).dropDuplicates(["node"])
-        held = materialise(held, "norms")
         side = lambda p: held.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"))
-        longest = F.greatest(F.length("a_norm"), F.length("b_norm"))
-        limit = F.floor(longest * (100 - SIMILAR) / 100).cast("int")
-        apart = F.levenshtein("a_norm", "b_norm")
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= limit).select("a", "b")
+        limit = F.floor(F.greatest(F.length("a_norm"), F.length("b_norm")) * (100 - SIMILAR) / 100).cast("int")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.levenshtein("a_norm", "b_norm") <= limit)
+        return both.select("a", "b").distinct()
 
     comps = linked_components(buckets, classes.select("node", "sim", "size"), likely, verify)
     grouped = classes.join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
@@ -145,7 +165,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.split(F.col(f"`{text_col}`"), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lines")), lambda k: F.element_at(parts, k + 1))
     out = out.withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept))
-    counts = lambda x: F.size(F.split(normalised(x), " ")) >= MIN_WORDS
+    counts = lambda x: F.size(words_of(x)) >= MIN_WORDS
     out = out.filter(F.col("_kept").isNull() | F.exists("_kept", counts))
     new = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(f"`{text_col}`"))
     cols = []

@@ -86,7 +86,7 @@ def line_removals(rows):
     keys = sorted(sim)
     for k, a in enumerate(keys):
         for b in keys[:k]:
-            if (sim[a] ^ sim[b]).bit_count() <= 3 and 10 * edit(a, b) <= max(len(a), len(b)):
+            if (sim[a] ^ sim[b]).bit_count() <= 2 and 10 * edit(a, b) <= max(len(a), len(b)):
                 g.join(a, b)
     groups = defaultdict(list)
     for n, o in where.items():
