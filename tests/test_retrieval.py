@@ -91,8 +91,8 @@ def lists(spark, d, s):
 def test_fusion(spark):
     order = lambda k, d, s, n=5: [r.chunk_id for r in fusion.rank_fusion(*lists(spark, d, s), k, n).orderBy("rank").collect()]
     assert order(60, ["x", "s"], ["y", "s"])[0] == "s"
-    deep = (["x", "1", "2", "3", "4", "s"], ["y", "5", "6", "7", "8", "s"])
-    assert order(60, *deep)[0] == "s" and order(5, *deep)[:2] == ["x", "y"]
+    deep = (["x", *"1234567", "s"], ["y", *"abcdefg", "s"])
+    assert order(60, *deep, 20)[0] == "s" and order(5, *deep, 20)[:2] == ["x", "y"]
     one = fusion.rank_fusion(lists(spark, ["a"], ["b"])[0], lists(spark, ["a"], ["b"])[1].limit(0), 5)
     r = one.first()
     assert abs(r.score - 1 / 6) < 1e-12 and r.dense_rank == 1 and r.sparse_rank is None
