@@ -102,14 +102,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = settled(lines, "d", "t", "pos", words=words_of(F.col("line"))).filter(F.size("words") >= MIN_WORDS)
     lines = lines.select(
-        F.monotonically_increasing_id().alias("line"), "d", "t", "pos", F.size("words").alias("n"), F.length(F.array_join("words", " ")).alias("size"),
+        F.monotonically_increasing_id().alias("line"), "d", "t", "pos", F.length(F.array_join("words", " ")).alias("size"),
         F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"),
         F.when(F.size("words") > 255, simhash(F.transform("words", lambda w: F.xxhash64(w)))).alias("long"),
         F.when(F.size("words").between(FUZZY_WORDS, 255), F.col("words")).alias("short"),
     )
     lines = lines.select(*[c for c in lines.columns if c != "short"], F.explode_outer("short").alias("word"))  # a row has its number by now
     lines = lines.withColumn("h", F.when(F.col("word").isNotNull(), F.xxhash64("word"))).drop("word")
-    summed = lines.groupBy("line").agg(*[F.max(c).alias(c) for c in ("d", "t", "pos", "n", "size", "k1", "k2", "long")], *[F.sum(_lane(F.col("h"), k, 9)).alias(f"c{k}") for k in range(9)])
+    summed = lines.groupBy("line").agg(*[F.max(c).alias(c) for c in ("d", "t", "pos", "size", "k1", "k2", "long")], F.count("h").alias("n"), *[F.sum(_lane(F.col("h"), k, 9)).alias(f"c{k}") for k in range(9)])
     sim = F.coalesce("long", _bits([F.col(f"c{k}") for k in range(9)], F.col("n"), 9))
     lines = materialise(summed.select("d", "t", "pos", "k1", "k2", "size", sim.alias("sim")), "lines")
 
@@ -126,8 +126,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     used = buckets.select("node").distinct().join(classes.select("node", "first"), "node")
     spots = used.groupBy("first.d", "first.t").agg(F.collect_set(F.struct("first.pos", "node")).alias("spots"))
-    held = named.join(materialise(spots, "spots"), ["d", "t"]).select(F.split("text", "\n").alias("all"), F.explode("spots").alias("x"))
-    held = held.select(F.col("x.node").alias("node"), F.array_join(words_of(F.element_at("all", F.col("x.pos") + 1)), " ").alias("norm"))
+    held = settled(named.join(materialise(spots, "spots"), ["d", "t"]), "spots", all=F.split("text", "\n"))
+    held = held.select(F.inline(F.transform("spots", lambda x: F.struct(x["node"].alias("node"), F.get("all", x["pos"]).alias("line")))))
+    held = held.select("node", F.array_join(words_of(F.col("line")), " ").alias("norm"))
     held = materialise(held, "norms")
 
     def verify(pairs: DataFrame) -> DataFrame:
