@@ -135,10 +135,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = materialise(pairs, "pairs")
         side = lambda p: held.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"))
         limit = F.floor(F.greatest(F.length("a_norm"), F.length("b_norm")) * (100 - SIMILAR) / 100).cast("int")
-        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.levenshtein("a_norm", "b_norm") <= limit)
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", limit)
+        both = both.filter(F.expr("levenshtein(a_norm, b_norm, most) >= 0"))  # -1 beyond; a band as wide as the limit is looked at
         return both.select("a", "b").distinct()
 
-    comps = linked_components(buckets, classes.select("node", "sim", "size"), likely, verify)
+    comps = linked_components(buckets, classes.select("node", "sim", "size"), likely, verify, rounds=2)
     grouped = classes.join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
     keeper = grouped.groupBy("group").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     doomed = materialise(grouped.join(keeper, "group").select("k1", "k2", "keep"), "doomed")
