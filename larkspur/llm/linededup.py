@@ -133,7 +133,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
-        side = lambda p: held.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"))
+        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+        mine = held.join(asked, "node", "left_semi")
+        side = lambda p: mine.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"))
         limit = F.floor(F.greatest(F.length("a_norm"), F.length("b_norm")) * (100 - SIMILAR) / 100).cast("int")
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", limit)
         both = both.filter(F.expr("levenshtein(a_norm, b_norm, most) >= 0"))  # -1 beyond; a band as wide as the limit is looked at
