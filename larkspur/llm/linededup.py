@@ -166,9 +166,10 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = docs.withColumns({"_d0": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST_ID)), "_t0": F.xxhash64(text)})
     out = own.join(gone, (F.col("_d0") == F.col("_d")) & (F.col("_t0") == F.col("_t")), "left")
-    parts = F.split(F.col(f"`{text_col}`"), "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lines")), lambda k: F.element_at(parts, k + 1))
-    out = out.withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept))
+    names = [f"`{c}`" for c in docs.columns]
+    out = settled(out, *names, "_lines", _parts=F.split(F.col(f"`{text_col}`"), "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lines")), lambda k: F.get("_parts", k))
+    out = settled(out, *names, _kept=F.when(F.col("_lines").isNotNull(), kept))
     counts = lambda x: F.size(words_of(x)) >= MIN_WORDS
     out = out.filter(F.col("_kept").isNull() | F.exists("_kept", counts))
     new = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(f"`{text_col}`"))
