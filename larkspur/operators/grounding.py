@@ -35,9 +35,8 @@ def amount(literal: Column) -> Column:
 def ungrounded_figures(answer: Column, context: Column) -> Column:
     """Distinct claimed literals that the context has neither as they are nor a thousand times larger or
     smaller; values under 10 and bare years are not checked."""
-    held = F.array_distinct(F.transform(figures(context), amount))
 
-    def missing(x: Column) -> Column:
+    def missing(x: Column, held: Column) -> Column:
         v = amount(x)
         year = x.rlike(r"^\d{4}$") & v.between(FIRST_YEAR, LAST_YEAR)
         found = F.array_contains(held, v)
@@ -45,7 +44,9 @@ def ungrounded_figures(answer: Column, context: Column) -> Column:
             found = found | F.array_contains(held, (v * F.lit(s).cast("decimal(10,3)")).try_cast("decimal(38,10)"))
         return v.isNotNull() & (v >= LEAST) & ~year & ~F.coalesce(found, F.lit(False))
 
-    return F.filter(F.array_distinct(claims(answer)), missing)
+    # the context's amounts are bound to a variable, so that they are made once and not for each claim
+    held = F.array(F.array_distinct(F.transform(figures(context), amount)))
+    return F.get(F.transform(held, lambda h: F.filter(F.array_distinct(claims(answer)), lambda x: missing(x, h))), F.lit(0))
 
 
 def resolve_citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
