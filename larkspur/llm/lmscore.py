@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import WordHashes, id_text, materialise, ngram_hashes, utf8
 
-ORDER, ALPHA = 2, 0.4
+ORDER, QUERY_ORDER, ALPHA = 2, 3, 0.4
 CHUNK_WORDS = PART_WORDS = 1_000_000
 _U = np.uint64
 
@@ -214,4 +214,4 @@ def unpack_documents(data: bytes) -> list[np.ndarray]:
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_ORDER)

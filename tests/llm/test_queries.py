@@ -56,3 +56,9 @@ def test_pipeline(spark, sf):
         before = after
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.collect()} == set(before)
+
+
+def test_lm_score_counts_trigrams(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(((r.doc_id, r.n_words, round(r.score, 5)) for r in entry.queries()["op3_lm_score"](spark, sf).collect()), key=repr)
+    assert got == sorted(((i, n, round(s, 5)) for i, n, s in brute.backoff(docs, 3)), key=repr)
