@@ -170,7 +170,8 @@ def ivf_assign(spark, d):
 def ivf_topk(spark, d):
     v = _vectors(spark, d)
     index = dense.CellIndex.fit(v)
-    return _dense_out(index.search(index.assign(v), _asked(spark, d), 10))
+    assigned = index.assign(v)
+    return _dense_out(index.tune(assigned, 10).search(assigned, _asked(spark, d), 10))
 
 
 # ---------------------------------------------------------------- texts

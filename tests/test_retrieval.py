@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import bm25, dense, filters, fusion
+from larkspur.plans import queries
 
 CHUNKS = [
     ("a", "Mine safety disclosures are not applicable here."),
@@ -83,6 +86,16 @@ def test_cells_recall(spark):
     assert len(dense.CellIndex.fit(df.limit(500), 64).centres) == 1 and dense.CellIndex.fit(df.limit(500), 64).retrain(df.limit(500)) is None
 
 
+def test_registered_cells_recall(spark):
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no fixture tables")
+    got, want = ({(r.question_id, r.chunk_id) for r in queries.QUERIES[n](spark, path).collect()} for n in ("ivf_topk", "dense_topk"))
+    recall = len(got & want) / len(want)
+    print("recall", recall)
+    assert recall >= 0.9
+
+
 def lists(spark, d, s):
     mk = lambda ids, rank: spark.createDataFrame([(0, c, k) for k, c in enumerate(ids, 1)], f"question_id int, chunk_id string, {rank} int")
     return mk(d, "dense_rank"), mk(s, "sparse_rank")
