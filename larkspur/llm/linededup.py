@@ -2,19 +2,13 @@
 
 A line is normalised (lower case, each run of anything but letters and digits to one space, none at the ends). Lines of at
 least ``MIN_WORDS`` words take part; shorter ones are always kept. Equal normalised lines are one class,
-known by a 64-bit and a 32-bit hash. Each class has a 63-bit SimHash of its words. The SimHash is cut into
-``PARTS`` parts; within Hamming distance ``RADIUS`` at least ``PARTS - RADIUS`` of them are equal, so every
-choice of that many parts is a bucket key and no pair within the radius is missed. Pairs within the radius
-are verified by edit similarity, ``100 * levenshtein <= (100 - SIMILAR) * length of the longer``, on the
-normalised lines. Of each connected group the occurrence with the smallest (document id, line number)
-stays. Only classes of at least ``FUZZY_WORDS`` words are compared fuzzily, since in shorter lines one word
-is a large part of the meaning.
-
-SimHash counters are packed several to a long (``_majority``). In lines of up to 255 words they are summed
-by an aggregate over the exploded words, which is compiled; only longer lines take a higher-order function.
-Groups are never collected: classes are counted by combining aggregates, links are found through pivots
-(``components``), and what is written or shuffled are rows of a few numbers, and once the texts of the
-documents that hold lines with a bucket in common.
+known by a 64-bit and a 32-bit hash. Classes are alike by edit similarity alone,
+``100 * levenshtein <= (100 - SIMILAR) * length of the longer``, on the normalised lines. Candidates are exact:
+the longer line is cut into more pieces than it may have edits (``PIECE`` characters from ``LONG`` on, even parts
+below), so that some stand unharmed in the other, no further off than the edits (``_candidates``); below ``LEAST``
+characters no edit is allowed. Counts of letters are looked at before the edit distance. Of each connected group
+the occurrence with the smallest (document id, line number) stays. Only classes of at least ``FUZZY_WORDS`` words
+are compared fuzzily.
 
 Defined results: null text has no lines. A null document id takes part as the largest id. Rows that repeat
 a document id count as one more copy of their lines, after the first by the text's hash.
@@ -22,17 +16,15 @@ a document id count as one more copy of their lines, after the first by the text
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, release
-from larkspur.llm.components import linked_components, shared_buckets
+from larkspur.llm.common import materialise
+from larkspur.llm.components import connected_components
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
-PARTS, RADIUS, SIMILAR = 4, 2, 90
-_CUTS = [0, 16, 32, 48, 63]
+SIMILAR, LEAST, LONG, PIECE = 90, 10, 90, 9
+_LETTERS = " etaoinshrdlucgmpwbfv"
 _LAST_ID = 2**63 - 1
 
 
@@ -79,16 +71,37 @@ def simhash(hashes: Column) -> Column:
     return F.when(n < 1 << 8, _majority(hashes, 9)).when(n < 1 << 20, _majority(hashes, 21)).otherwise(_majority(hashes, 63))
 
 
-def _keys(sim: Column) -> Column:
-    """One key for each choice of parts that must be equal."""
-    part = lambda k: F.shiftrightunsigned(sim, _CUTS[k]).bitwiseAND(F.lit((1 << (_CUTS[k + 1] - _CUTS[k])) - 1).cast("long"))
-    out = []
-    for n, chosen in enumerate(combinations(range(PARTS), PARTS - RADIUS)):
-        key = F.lit(n).cast("long")
-        for k in chosen:
-            key = F.shiftleft(key, _CUTS[k + 1] - _CUTS[k]).bitwiseOR(part(k))
-        out.append(key)
-    return F.array(*out)
+def _most(size: Column) -> Column:
+    """Edits that a line of this length, the longer of a pair, may be away."""
+    return F.floor(size * (100 - SIMILAR) / 100).cast("int")
+
+
+def _letters(norm: Column) -> Column:
+    """How often each of ``_LETTERS`` occurs; an edit changes two of them by one at most."""
+    return F.array(*[F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in _LETTERS])
+
+
+def _candidates(held: DataFrame) -> DataFrame:
+    """``a, b``: all pairs that can be alike, of ``held(node, norm, size)``. The longer is cut into pieces that do not
+    overlap, more than it may have edits. An edit harms one piece, so that the others stand in the shorter line too,
+    shifted by no more than the edits."""
+    size = F.col("size")
+    kind = lambda x: F.floor(F.log(x) / F.lit(0.1165)).cast("int")  # noqa: E731  # lengths at a ratio of 0.89; 0.9 spans two at most
+    n = F.when(size >= LONG, F.floor(size / PIECE).cast("int")).otherwise(_most(size) + 1)
+    start = lambda k: F.when(size >= LONG, k * PIECE).otherwise(F.floor(k * size / F.col("n")).cast("int"))
+    cut = held.withColumn("n", n).select("node", "norm", "size", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    cut = cut.withColumn("at", start(F.col("k"))).withColumn("width", start(F.col("k") + 1) - F.col("at"))
+    cut = cut.select(F.col("node").alias("a"), F.col("size").alias("a_size"), "n", F.col("at").alias("a_at"), F.substring("norm", F.col("at") + 1, F.col("width")).alias("piece"), F.explode(F.array(kind(size), kind(size) - 1)).alias("kind"))
+    cut = cut.select("a", "a_size", "n", "a_at", F.xxhash64("piece", "kind").alias("key"))
+    widths = F.when(size >= LONG, F.array(F.lit(PIECE))).otherwise(F.sequence(F.lit(LEAST // 2), F.lit(LEAST)))
+    run = held.select("node", "norm", "size", F.explode(widths).alias("width")).filter("width <= size")
+    run = run.select("node", "norm", "size", "width", F.explode(F.sequence(F.lit(0), size - F.col("width"))).alias("at"))
+    run = run.select(F.col("node").alias("b"), size.alias("b_size"), F.col("at").alias("b_at"), F.xxhash64(F.substring("norm", F.col("at") + 1, F.col("width")), kind(size)).alias("key"))
+    shorter = (F.col("b_size") < F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("b") < F.col("a")))
+    near = (F.col("a_size") - F.col("b_size") <= _most(F.col("a_size"))) & (F.abs(F.col("a_at") - F.col("b_at")) <= _most(F.col("a_size")))
+    met = cut.join(run, "key").filter(shorter & near)
+    met = met.groupBy("a", "b").agg(F.count("*").alias("same"), F.max(F.col("n") - _most(F.col("a_size"))).alias("needed"))
+    return met.filter("same >= needed").select("a", "b")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,47 +114,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = _documents(docs, id_col, text_col)
     lines = named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = settled(lines, "d", "t", "pos", words=words_of(F.col("line"))).filter(F.size("words") >= MIN_WORDS)
-    lines = lines.select(
-        F.monotonically_increasing_id().alias("line"), "d", "t", "pos", F.length(F.array_join("words", " ")).alias("size"),
-        F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"),
-        F.when(F.size("words") > 255, simhash(F.transform("words", lambda w: F.xxhash64(w)))).alias("long"),
-        F.when(F.size("words").between(FUZZY_WORDS, 255), F.col("words")).alias("short"),
-    )
-    lines = lines.select(*[c for c in lines.columns if c != "short"], F.explode_outer("short").alias("word"))  # a row has its number by now
-    lines = lines.withColumn("h", F.when(F.col("word").isNotNull(), F.xxhash64("word"))).drop("word")
-    summed = lines.groupBy("line").agg(*[F.max(c).alias(c) for c in ("d", "t", "pos", "size", "k1", "k2", "long")], F.count("h").alias("n"), *[F.sum(_lane(F.col("h"), k, 9)).alias(f"c{k}") for k in range(9)])
-    sim = F.coalesce("long", _bits([F.col(f"c{k}") for k in range(9)], F.col("n"), 9))
-    lines = materialise(summed.select("d", "t", "pos", "k1", "k2", "size", sim.alias("sim")), "lines")
+    lines = lines.select("d", "t", "pos", F.length(F.array_join("words", " ")).alias("size"), F.size("words").alias("n_words"), F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"))
+    lines = materialise(lines, "lines")
 
     place = F.struct("d", "t", "pos")
-    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("sim").alias("sim"), F.max("size").alias("size"))
+    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"), F.max("n_words").alias("n_words"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keyed = classes.filter(F.col("sim").isNotNull()).select(F.explode(_keys(F.col("sim"))).alias("key"), "node")
-    buckets = shared_buckets(keyed)
-
-    def likely(a: str, b: str) -> Column:
-        near = F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= RADIUS
-        return near & (100 * F.abs(F.col(f"{a}size") - F.col(f"{b}size")) <= (100 - SIMILAR) * F.greatest(f"{a}size", f"{b}size"))
-
-    used = buckets.select("node").distinct().join(classes.select("node", "first"), "node")
+    used = classes.filter((F.col("size") >= LEAST) & (F.col("n_words") >= FUZZY_WORDS))
     spots = used.groupBy("first.d", "first.t").agg(F.collect_set(F.struct("first.pos", "node")).alias("spots"))
-    held = settled(named.join(materialise(spots, "spots"), ["d", "t"]), "spots", all=F.split("text", "\n"))
+    held = settled(named.dropDuplicates(["d", "t"]).join(materialise(spots, "spots"), ["d", "t"]), "spots", all=F.split("text", "\n"))
     held = held.select(F.inline(F.transform("spots", lambda x: F.struct(x["node"].alias("node"), F.get("all", x["pos"]).alias("line")))))
     held = held.select("node", F.array_join(words_of(F.col("line")), " ").alias("norm"))
-    held = materialise(held, "norms")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
-        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-        mine = held.join(asked, "node", "left_semi")
-        side = lambda p: mine.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"))
-        limit = F.floor(F.greatest(F.length("a_norm"), F.length("b_norm")) * (100 - SIMILAR) / 100).cast("int")
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", limit)
-        both = both.filter(F.expr("levenshtein(a_norm, b_norm, most) >= 0"))  # -1 beyond; a band as wide as the limit is looked at
-        return both.select("a", "b").distinct()
-
-    comps = linked_components(buckets, classes.select("node", "sim", "size"), likely, verify, rounds=2)
+    held = materialise(held.select("node", "norm", F.length("norm").alias("size"), _letters(F.col("norm")).alias("letters")), "norms")
+
+    pairs = materialise(_candidates(held), "pairs")
+    side = lambda p: held.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("norm", "size", "letters")])
+    most = _most(F.greatest("a_size", "b_size"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", most)
+    apart = sum((F.abs(F.get("a_letters", F.lit(k)) - F.get("b_letters", F.lit(k))) for k in range(1, len(_LETTERS))), F.abs(F.get("a_letters", F.lit(0)) - F.get("b_letters", F.lit(0))))
+    links = both.filter(apart <= 2 * F.col("most")).filter(F.expr("levenshtein(a_norm, b_norm, most) >= 0"))  # -1 beyond; a band as wide as the limit is looked at
+    comps = connected_components(materialise(links.select("a", "b"), "links"))
     grouped = classes.join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
     keeper = grouped.groupBy("group").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     doomed = materialise(grouped.join(keeper, "group").select("k1", "k2", "keep"), "doomed")

@@ -205,6 +205,27 @@ def test_line_dedup_finds_small_edits_and_odd_rows(spark, odd):
         assert r.s == sum(1 << k for k in range(63) if sum(x >> k & 1 for x in r.h) > len(r.h) // 2)
 
 
+def test_line_dedup_finds_edited_lines_of_8_to_40_words(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    data = []
+    for n in (8, 10, 15, 20, 30, 40):
+        for how in range(6):
+            line = " ".join(word() for _ in range(n))
+            most = len(line) // 10
+            new = list(line)
+            if how < 3:  # spread over the line, as many as are allowed, and one more
+                places = np.linspace(0, len(line) - 1, most + (how == 2)).astype(int)
+                for p in places:
+                    new[p] = "" if how == 1 and p < len(line) - 1 else "é"
+            else:
+                new[how * 7 : how * 7 + most // 2] = []
+            data += [(2 * len(data), line), (2 * len(data) + 1, "".join(new))]
+    want = brute.line_removals(data)
+    got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and sum(map(bool, want.values())) >= 25
+
+
 TRIE = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.Example.com", "/en/"), ("block", "net", "/es/"), ("block", "org", "/a/b"), ("allow", "org", "/a/b"), ("allow", "org", "/a/"), ("block", "", "/adm")]
 
 
