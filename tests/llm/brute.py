@@ -66,10 +66,9 @@ def edit(a, b):
     return row[-1]
 
 
-def line_removals(rows):
+def line_removals(rows, floor=8):
     """{doc_id: numbers of removed lines}, for distinct ids."""
     import regex
-    import xxhash
 
     where = defaultdict(list)
     for d, t in rows:
@@ -77,16 +76,16 @@ def line_removals(rows):
             n = regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
             if len(n.split(" ")) >= 3:
                 where[n].append((d, k))
-    sim = {}
-    for n in where:
-        h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in n.split(" ")]
-        if len(h) >= 8:
-            sim[n] = sum(1 << k for k in range(63) if sum(x >> k & 1 for x in h) > len(h) // 2)
     g = Groups(where)
-    keys = sorted(sim)
+    grams = {n: Counter(n[k : k + 4] for k in range(len(n) - 3)) for n in where}
+    keys = sorted((n for n in where if len(n.split(" ")) >= floor), key=len)
     for k, a in enumerate(keys):
-        for b in keys[:k]:
-            if (sim[a] ^ sim[b]).bit_count() <= 2 and 10 * edit(a, b) <= max(len(a), len(b)):
+        for b in reversed(keys[:k]):
+            most = len(a) // 10
+            if len(a) - len(b) > most:
+                break
+            # an edit harms four runs of four characters at most
+            if sum((grams[a] & grams[b]).values()) >= len(a) - 3 - 4 * most and edit(a, b) <= most:
                 g.join(a, b)
     groups = defaultdict(list)
     for n, o in where.items():
