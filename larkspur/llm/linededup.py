@@ -1,14 +1,13 @@
 """Fuzzy line dedup, on DataFrame and SQL functions alone.
 
-A line is normalised (lower case, each run of anything but letters and digits to one space, none at the ends). Lines of at
-least ``MIN_WORDS`` words take part; shorter ones are always kept. Equal normalised lines are one class,
+A line is normalised (lower case, each run of anything but letters and digits to one space, none at the ends). Every line with a
+word takes part. Equal normalised lines are one class,
 known by a 64-bit and a 32-bit hash. Classes are alike by edit similarity alone,
 ``100 * levenshtein <= (100 - SIMILAR) * length of the longer``, on the normalised lines. Candidates are exact:
 the longer line is cut into more pieces than it may have edits (``PIECE`` characters from ``LONG`` on, even parts
 below), so that some stand unharmed in the other, no further off than the edits (``_candidates``); below ``LEAST``
 characters no edit is allowed. Counts of letters are looked at before the edit distance. Of each connected group
-the occurrence with the smallest (document id, line number) stays. Only classes of at least ``FUZZY_WORDS`` words
-are compared fuzzily.
+the occurrence with the smallest (document id, line number) stays.
 
 Defined results: null text has no lines. A null document id takes part as the largest id. Rows that repeat
 a document id count as one more copy of their lines, after the first by the text's hash.
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import materialise
 from larkspur.llm.components import connected_components
 
-MIN_WORDS, FUZZY_WORDS = 3, 8
 SIMILAR, LEAST, LONG, PIECE = 90, 10, 90, 9
 _LETTERS = " etaoinshrdlucgmpwbfv"
 _LAST_ID = 2**63 - 1
@@ -113,15 +111,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``d, t, lines``: for each document (id and text hash) the numbers, from 0, of the lines to remove."""
     named = _documents(docs, id_col, text_col)
     lines = named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = settled(lines, "d", "t", "pos", words=words_of(F.col("line"))).filter(F.size("words") >= MIN_WORDS)
-    lines = lines.select("d", "t", "pos", F.length(F.array_join("words", " ")).alias("size"), F.size("words").alias("n_words"), F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"))
+    lines = settled(lines, "d", "t", "pos", words=words_of(F.col("line"))).filter(F.size("words") > 0)
+    lines = lines.select("d", "t", "pos", F.length(F.array_join("words", " ")).alias("size"), F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"))
     lines = materialise(lines, "lines")
 
     place = F.struct("d", "t", "pos")
-    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"), F.max("n_words").alias("n_words"))
+    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    used = classes.filter((F.col("size") >= LEAST) & (F.col("n_words") >= FUZZY_WORDS))
+    used = classes.filter(F.col("size") >= LEAST)
     spots = used.groupBy("first.d", "first.t").agg(F.collect_set(F.struct("first.pos", "node")).alias("spots"))
     held = settled(named.dropDuplicates(["d", "t"]).join(materialise(spots, "spots"), ["d", "t"]), "spots", all=F.split("text", "\n"))
     held = held.select(F.inline(F.transform("spots", lambda x: F.struct(x["node"].alias("node"), F.get("all", x["pos"]).alias("line")))))
@@ -153,7 +151,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with those lines gone. A document that loses all its lines of MIN_WORDS words goes; others keep
+    """``docs`` with those lines gone. A document that loses all its lines of 3 words goes; others keep
     their other columns (``size_col``, if there, is counted again)."""
     gone = removed_lines(docs, id_col, text_col).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("lines").alias("_lines"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -163,7 +161,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = settled(out, *names, "_lines", _parts=F.split(F.col(f"`{text_col}`"), "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lines")), lambda k: F.get("_parts", k))
     out = settled(out, *names, _kept=F.when(F.col("_lines").isNotNull(), kept))
-    counts = lambda x: F.size(words_of(x)) >= MIN_WORDS
+    counts = lambda x: F.size(words_of(x)) >= 3
     out = out.filter(F.col("_kept").isNull() | F.exists("_kept", counts))
     new = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(f"`{text_col}`"))
     cols = []

@@ -66,7 +66,7 @@ def edit(a, b):
     return row[-1]
 
 
-def line_removals(rows, floor=8):
+def line_removals(rows):
     """{doc_id: numbers of removed lines}, for distinct ids."""
     import regex
 
@@ -74,11 +74,11 @@ def line_removals(rows, floor=8):
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             n = regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
-            if len(n.split(" ")) >= 3:
+            if n:
                 where[n].append((d, k))
     g = Groups(where)
     grams = {n: Counter(n[k : k + 4] for k in range(len(n) - 3)) for n in where}
-    keys = sorted((n for n in where if len(n.split(" ")) >= floor), key=len)
+    keys = sorted(where, key=len)
     for k, a in enumerate(keys):
         for b in reversed(keys[:k]):
             most = len(a) // 10

@@ -226,6 +226,12 @@ def test_line_dedup_finds_edited_lines_of_8_to_40_words(spark):
     assert got == want and sum(map(bool, want.values())) >= 25
 
 
+def test_line_dedup_takes_short_lines(spark):
+    data = [(1, "Contents\nNext page\n\n***"), (2, "next PAGE.\ncontents\n\n***"), (3, "internationally agreed rules"), (4, "internationally agreed rulez")]
+    got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 1], 3: [], 4: [0]} == brute.line_removals(data)
+
+
 TRIE = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.Example.com", "/en/"), ("block", "net", "/es/"), ("block", "org", "/a/b"), ("allow", "org", "/a/b"), ("allow", "org", "/a/"), ("block", "", "/adm")]
 
 
