@@ -151,7 +151,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with those lines gone. A document that loses all its lines of 3 words goes; others keep
+    """``docs`` with those lines gone. A document that loses lines and has none left that is not blank goes; others keep
     their other columns (``size_col``, if there, is counted again)."""
     gone = removed_lines(docs, id_col, text_col).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("lines").alias("_lines"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -161,8 +161,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = settled(out, *names, "_lines", _parts=F.split(F.col(f"`{text_col}`"), "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lines")), lambda k: F.get("_parts", k))
     out = settled(out, *names, _kept=F.when(F.col("_lines").isNotNull(), kept))
-    counts = lambda x: F.size(words_of(x)) >= 3
-    out = out.filter(F.col("_kept").isNull() | F.exists("_kept", counts))
+    out = out.filter(F.col("_kept").isNull() | F.exists("_kept", lambda x: x.rlike(r"\S")))
     new = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(f"`{text_col}`"))
     cols = []
     for c in docs.columns:

@@ -232,6 +232,13 @@ def test_line_dedup_takes_short_lines(spark):
     assert got == {1: [], 2: [0, 1], 3: [], 4: [0]} == brute.line_removals(data)
 
 
+def test_line_dedup_keeps_documents_with_any_line_left(spark):
+    line = "the same long line stands in every document here"
+    data = [(1, line, 9), (2, f"{line}\nApples", 9), (3, f"{line}\n \n", 9), (4, f"{line}\n***", 9)]
+    left = {r.doc_id: r.text for r in linededup.drop_lines(spark.createDataFrame(data, "doc_id long, text string, n_chars long")).collect()}
+    assert left == {1: line, 2: "Apples", 4: "***"}
+
+
 TRIE = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.Example.com", "/en/"), ("block", "net", "/es/"), ("block", "org", "/a/b"), ("allow", "org", "/a/b"), ("allow", "org", "/a/"), ("block", "", "/adm")]
 
 
