@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import WordHashes, id_text, map_arrow, materialise, mix, ngram_hashes, release, utf8
-from larkspur.llm.components import linked_components, shared_buckets
+from larkspur.llm.components import connected_components, linked_components, shared_buckets
 
 WORDS = 5
 PERCENT = 75
@@ -139,7 +139,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= PERCENT * whole).select("a", "b").distinct()
 
     comps = linked_components(buckets, reps.select(F.col("rep").alias("node"), "n", "s1", "s2", "parity"), _likely, verify)
-    out = placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("node")).join(comps, "node", "left")
+    # rows of an id that stand in other classes tie these to it
+    tied = placed.filter("rep IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id")
+    ties = placed.join(materialise(tied, "tied"), "doc_id").filter("rep != doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    ties = materialise(ties, "ties")
+    if not ties.isEmpty():
+        stars = comps.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comps = materialise(connected_components(stars.unionByName(ties)), "components")
+    out = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("node")).join(comps, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -274,6 +274,14 @@ def test_minhash(docs, odd, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.drop_near_duplicates(none).columns == none.columns
 
 
+def test_minhash_links_all_rows_of_a_repeated_id(spark):
+    one, two, three = ("".join(f"{w}{k} " for k in range(20)) for w in ("a", "b", "c"))
+    data = [(1, one), (5, one), (5, two), (7, two), (8, three), (9, three), (9, None), (9, one)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(minhash.near_duplicates(df))
+    assert got == brute.near_duplicates(data) and {r[2] for r in got} == {1}
+
+
 def test_minhash_links_through_a_hub(spark):
     rng = np.random.default_rng(2)
     base = [f"b{k}" for k in range(160)]
