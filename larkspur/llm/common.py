@@ -16,12 +16,14 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and all is one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return str(jvm_dir.get())
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -64,6 +66,15 @@ def release(*tables: DataFrame) -> None:
             drop_path(t.sparkSession, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (column names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; null text is the empty text."""
     return docs.select(

@@ -1,16 +1,30 @@
 """Fuzzy line dedup, on DataFrame and SQL functions alone.
 
-A line is normalised (lower case, each run of anything but letters and digits to one space, none at the ends). Every line with a
-word takes part. Equal normalised lines are one class,
-known by a 64-bit and a 32-bit hash. Classes are alike by edit similarity alone,
-``100 * levenshtein <= (100 - SIMILAR) * length of the longer``, on the normalised lines. Candidates are exact:
-the longer line is cut into more pieces than it may have edits (``PIECE`` characters from ``LONG`` on, even parts
-below), so that some stand unharmed in the other, no further off than the edits (``_candidates``); below ``LEAST``
-characters no edit is allowed. Counts of letters are looked at before the edit distance. Of each connected group
-the occurrence with the smallest (document id, line number) stays.
-
-Defined results: null text has no lines. A null document id takes part as the largest id. Rows that repeat
-a document id count as one more copy of their lines, after the first by the text's hash.
+A line is normalised (lower case, each run of anything but letters and digits to one space, none at the ends). Every
+line with a word takes part. Equal normalised lines are one class, known by a 64-bit and a 32-bit hash. Classes
+are alike by edit similarity, ``100 * levenshtein <= (100 - SIMILAR) * length of the longer``, on the normalised
+lines; below ``LEAST`` characters no edit is allowed. Of each connected group the occurrence with the smallest
+(document id, text hash, line number) stays.
+
+Candidates meet by pigeonhole: a line is cut into blocks, and where there are fewer edits than blocks one stays
+unharmed. The blocks are cut from the line itself and not from the bits of a SimHash of it: one changed word in
+20 turns 7 of 64 bits, so that a SimHash would have to be looked up at a radius of 8 or more, in blocks of 7
+bits, which nearly all lines share.
+
+* A block ends after each word whose hash says so (one in ``CUT``), hence inserted words move no other block. Blocks of
+  under ``SHORT`` characters are no keys.
+* Lines with fewer than ``FEW`` such blocks also have their beginning and their end for blocks, of two lengths at
+  most half the line, of which lines at 90 % have one in common; so a single edit is always found.
+
+A key that several lines share is looked at again with the line's length (in classes of which like lines share one);
+within it ``linked_components`` gathers groups without listing their pairs. Counts of letters are looked at before
+the edit distance, which is looked for in a narrow band first.
+
+Defined results: null text has no lines, the empty text none either. A null document id takes part as the largest
+id there is. Rows that repeat both id and text are one document, and lose the same lines; rows that repeat an id
+with another text are documents of their own, in the order of the text's hash. Equal lines of one document are
+copies like others, of which the first stays. Texts and lines of any length are taken whole. An empty table gives an empty one.
+Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,19 +32,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise
-from larkspur.llm.components import connected_components
+from larkspur.llm.common import free_name, materialise, release
+from larkspur.llm.components import linked_components, shared_buckets
 
-SIMILAR, LEAST, LONG, PIECE = 90, 10, 90, 9
+SIMILAR, LEAST = 90, 10
+CUT, SHORT, FEW = 5, 14, 8
+_GROWTH = 1.35
 _LETTERS = " etaoinshrdlucgmpwbfv"
 _LAST_ID = 2**63 - 1
 
 
-def words_of(line: Column) -> Column:
-    """Words of the normalised line, which is these with single spaces."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
-
-
 def settled(df: DataFrame, *columns: str, **made: Column) -> DataFrame:
     """Columns that are computed once: a generator stands between them and the filters and lambdas that use
     them, into which the optimiser would otherwise copy them."""
@@ -79,96 +90,143 @@ def _letters(norm: Column) -> Column:
     return F.array(*[F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in _LETTERS])
 
 
-def _candidates(held: DataFrame) -> DataFrame:
-    """``a, b``: all pairs that can be alike, of ``held(node, norm, size)``. The longer is cut into pieces that do not
-    overlap, more than it may have edits. An edit harms one piece, so that the others stand in the shorter line too,
-    shifted by no more than the edits."""
-    size = F.col("size")
-    kind = lambda x: F.floor(F.log(x) / F.lit(0.1165)).cast("int")  # noqa: E731  # lengths at a ratio of 0.89; 0.9 spans two at most
-    n = F.when(size >= LONG, F.floor(size / PIECE).cast("int")).otherwise(_most(size) + 1)
-    start = lambda k: F.when(size >= LONG, k * PIECE).otherwise(F.floor(k * size / F.col("n")).cast("int"))
-    cut = held.withColumn("n", n).select("node", "norm", "size", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    cut = cut.withColumn("at", start(F.col("k"))).withColumn("width", start(F.col("k") + 1) - F.col("at"))
-    cut = cut.select(F.col("node").alias("a"), F.col("size").alias("a_size"), "n", F.col("at").alias("a_at"), F.substring("norm", F.col("at") + 1, F.col("width")).alias("piece"), F.explode(F.array(kind(size), kind(size) - 1)).alias("kind"))
-    cut = cut.select("a", "a_size", "n", "a_at", F.xxhash64("piece", "kind").alias("key"))
-    widths = F.when(size >= LONG, F.array(F.lit(PIECE))).otherwise(F.sequence(F.lit(LEAST // 2), F.lit(LEAST)))
-    run = held.select("node", "norm", "size", F.explode(widths).alias("width")).filter("width <= size")
-    run = run.select("node", "norm", "size", "width", F.explode(F.sequence(F.lit(0), size - F.col("width"))).alias("at"))
-    run = run.select(F.col("node").alias("b"), size.alias("b_size"), F.col("at").alias("b_at"), F.xxhash64(F.substring("norm", F.col("at") + 1, F.col("width")), kind(size)).alias("key"))
-    shorter = (F.col("b_size") < F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("b") < F.col("a")))
-    near = (F.col("a_size") - F.col("b_size") <= _most(F.col("a_size"))) & (F.abs(F.col("a_at") - F.col("b_at")) <= _most(F.col("a_size")))
-    met = cut.join(run, "key").filter(shorter & near)
-    met = met.groupBy("a", "b").agg(F.count("*").alias("same"), F.max(F.col("n") - _most(F.col("a_size"))).alias("needed"))
-    return met.filter("same >= needed").select("a", "b")
+def _blocks(norm: Column) -> Column:
+    """The blocks of a normalised line that are long enough for keys."""
+    ends = lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(CUT)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)
+    cut = F.split(F.array_join(F.transform(F.split(norm, " "), ends), " "), "\n ?")
+    return F.filter(cut, lambda b: F.length(b) >= SHORT)
+
+
+def _keys(norm: Column, size: Column, blocks: Column) -> Column:
+    """Hashes of the blocks and, of a line with few, of its beginning and end; none below LEAST characters."""
+    step = F.floor(F.log(size / LEAST) / F.log(F.lit(_GROWTH)) + 1e-9).cast("int")
+    width = lambda j: F.floor(F.lit(LEAST // 2) * F.pow(F.lit(_GROWTH), j)).cast("int")
+    ends = lambda j: F.array(F.xxhash64(F.lit("begins"), j, F.left(norm, width(j))), F.xxhash64(F.lit("ends"), j, F.right(norm, width(j))))
+    both = F.when(step > 0, F.concat(ends(step), ends(step - 1))).otherwise(ends(step))
+    inner = F.transform(blocks, lambda b: F.xxhash64(b))
+    return F.when(size < LEAST, F.array().cast("array<bigint>")).when(F.size(blocks) < FEW, F.concat(inner, both)).otherwise(inner)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    own = F.col(f"`{id_col}`").cast("long")
+    return docs.select(own.alias("own"), F.coalesce(own, F.lit(_LAST_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def _normal(text: Column) -> Column:
+    """All lines of a text, normalised at once."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _lines(named: DataFrame) -> DataFrame:
+    """``d, t, pos, size, k1, k2, keys`` of every line that has a word."""
+    lines = named.select("d", "t", F.posexplode(F.split(_normal(F.col("text")), "\n")).alias("pos", "line")).filter("line != '' AND line != ' '")
+    lines = settled(lines, "d", "t", "pos", norm=F.trim("line"))
+    lines = settled(lines, "d", "t", "pos", "norm", size=F.length("norm"), blocks=_blocks(F.col("norm")))
+    return lines.select("d", "t", "pos", "size", F.xxhash64("norm").alias("k1"), F.hash("norm").alias("k2"), _keys(F.col("norm"), F.col("size"), F.col("blocks")).alias("keys"))
+
+
+def _buckets(lines: DataFrame) -> DataFrame:
+    """``key, node, size`` of lines that share a block with another one of about their length."""
+    keyed = lines.select(F.explode("keys").alias("key"), F.col("k1").alias("node"), F.col("size").alias("length"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    shared = materialise(shared, "shared")
+    kind = F.floor(F.log(F.col("length")) / F.lit(0.1165)).cast("int")  # lengths at a ratio of 0.89: like lines are in one or in adjacent ones
+    held = keyed.join(shared, "key").select("key", "node", kind.alias("kind")).distinct()
+    held = held.select(F.explode(F.array(F.xxhash64("key", "kind"), F.xxhash64("key", F.col("kind") - 1))).alias("key"), "node")
+    held = materialise(held, "members")
+    out = shared_buckets(held)
+    release(shared, held)
+    return out
+
+
+def _texts(lines: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, norm, size, letters`` of the lines in question, from one document each."""
+    found = lines.join(nodes, lines["k1"] == nodes["node"]).groupBy("node").agg(F.min(F.struct("d", "t", "pos")).alias("first"))
+    spots = materialise(found.groupBy("first.d", "first.t").agg(F.collect_set(F.struct("first.pos", "node")).alias("spots")), "spots")
+    held = settled(named.select("d", "t", "text").join(spots, ["d", "t"]), "spots", all=F.split(_normal(F.col("text")), "\n"))
+    held = held.select(F.inline(F.transform("spots", lambda x: F.struct(x["node"].alias("node"), F.trim(F.get("all", x["pos"])).alias("norm")))))
+    held = held.dropDuplicates(["node"])  # a repeated document names its lines again
+    out = materialise(held.select("node", "norm", F.length("norm").alias("size"), _letters(F.col("norm")).alias("letters")), "norms")
+    release(spots)
+    return out
+
+
+def _likely(a: str, b: str) -> Column:
+    """What edit similarity asks of lengths and letters."""
+    a_size, b_size = F.col(f"{a}size"), F.col(f"{b}size")
+    most = _most(F.greatest(a_size, b_size))
+    apart = sum((F.abs(F.get(f"{a}letters", F.lit(k)) - F.get(f"{b}letters", F.lit(k))) for k in range(1, len(_LETTERS))), F.abs(F.get(f"{a}letters", F.lit(0)) - F.get(f"{b}letters", F.lit(0))))
+    return (F.abs(a_size - b_size) <= most) & (apart <= 2 * most)
+
+
+def line_groups(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """``node, component`` of the lines (by k1) that are like another line."""
+    buckets = _buckets(lines)
+    norms = _texts(lines, named, buckets.select("node").distinct())
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        side = lambda p: norms.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"), F.col("size").alias(f"{p}_size"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", _most(F.greatest("a_size", "b_size")))
+        # a band as wide as the limit is looked at, -1 is beyond it: most like lines are found in a narrow one
+        near = "CASE WHEN levenshtein(a_norm, b_norm, least(most, 8)) >= 0 THEN true WHEN most <= 8 THEN false WHEN levenshtein(a_norm, b_norm, least(most, 32)) >= 0 THEN true WHEN most <= 32 THEN false ELSE levenshtein(a_norm, b_norm, most) >= 0 END"
+        return both.filter(F.expr(near)).select("a", "b")
+
+    return linked_components(buckets, norms.select("node", "size", "letters"), _likely, verify)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``d, t, lines``: for each document (id and text hash) the numbers, from 0, of the lines to remove."""
     named = _documents(docs, id_col, text_col)
-    lines = named.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = settled(lines, "d", "t", "pos", words=words_of(F.col("line"))).filter(F.size("words") > 0)
-    lines = lines.select("d", "t", "pos", F.length(F.array_join("words", " ")).alias("size"), F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"))
-    lines = materialise(lines, "lines")
-
-    place = F.struct("d", "t", "pos")
-    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-
-    used = classes.filter(F.col("size") >= LEAST)
-    spots = used.groupBy("first.d", "first.t").agg(F.collect_set(F.struct("first.pos", "node")).alias("spots"))
-    held = settled(named.dropDuplicates(["d", "t"]).join(materialise(spots, "spots"), ["d", "t"]), "spots", all=F.split("text", "\n"))
-    held = held.select(F.inline(F.transform("spots", lambda x: F.struct(x["node"].alias("node"), F.get("all", x["pos"]).alias("line")))))
-    held = held.select("node", F.array_join(words_of(F.col("line")), " ").alias("norm"))
-    held = materialise(held.select("node", "norm", F.length("norm").alias("size"), _letters(F.col("norm")).alias("letters")), "norms")
-
-    pairs = materialise(_candidates(held), "pairs")
-    side = lambda p: held.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("norm", "size", "letters")])
-    most = _most(F.greatest("a_size", "b_size"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", most)
-    apart = sum((F.abs(F.get("a_letters", F.lit(k)) - F.get("b_letters", F.lit(k))) for k in range(1, len(_LETTERS))), F.abs(F.get("a_letters", F.lit(0)) - F.get("b_letters", F.lit(0))))
-    links = both.filter(apart <= 2 * F.col("most")).filter(F.expr("levenshtein(a_norm, b_norm, most) >= 0"))  # -1 beyond; a band as wide as the limit is looked at
-    comps = connected_components(materialise(links.select("a", "b"), "links"))
-    grouped = classes.join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    keeper = grouped.groupBy("group").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
-    doomed = materialise(grouped.join(keeper, "group").select("k1", "k2", "keep"), "doomed")
-    gone = lines.join(doomed, ["k1", "k2"]).filter(place != F.col("keep"))
-    out = gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("lines"))
-    return materialise(out, "removed")
+    lines = materialise(_lines(named), "lines")
+    comps = line_groups(lines, named)
+    classes = lines.groupBy("k1", "k2").agg(F.min("d").alias("d"), F.count("*").alias("n"))
+    classes = classes.join(comps, F.col("k1") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL")
+    lone = F.col("component").isNull()
+    classes = classes.select("k1", "k2", "d", F.coalesce("component", "k1").alias("g1"), F.when(lone, F.col("k2")).alias("g2"), F.when(lone, 1).otherwise(2).alias("g3"))
+    group = ["g1", "g2", "g3"]
+    classes = materialise(classes.withColumn("g2", F.coalesce("g2", F.lit(0))), "groups")
+    keeper = materialise(classes.groupBy(*group).agg(F.min("d").alias("keep")), "keepers")
+    doomed = materialise(classes.join(keeper, group).select("k1", "k2", *group, "keep"), "doomed")
+    hits = materialise(lines.select("d", "t", "pos", "k1", "k2").join(doomed, ["k1", "k2"]).select("d", "t", "pos", *group, "keep"), "hits")
+    first = materialise(hits.filter("d = keep").groupBy(*group).agg(F.min(F.struct("t", "pos")).alias("first")), "first")
+    stays = (F.col("d") == F.col("keep")) & (F.struct("t", "pos") == F.col("first"))
+    gone = hits.join(first, group).filter(~stays)
+    out = materialise(gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("lines")), "removed")
+    release(lines, classes, keeper, doomed, hits, first)
+    return out
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, removed array<int>`` of every row: the numbers of the lines to remove."""
     gone = removed_lines(docs, id_col, text_col)
-    slim = _documents(docs, id_col, text_col).select("d", "t", F.when(F.col("text") != "", F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
+    slim = _documents(docs, id_col, text_col).select("own", "d", "t", F.when(F.col("text") != "", F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
     out = slim.join(gone, ["d", "t"], "left")
     none = F.array().cast("array<int>")
-    return out.select(F.when(F.col("d") != _LAST_ID, F.col("d")).alias("doc_id"), "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("lines", none).alias("removed"))
+    return out.select(F.col("own").alias("doc_id"), "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("lines", none).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with those lines gone. A document that loses lines and has none left that is not blank goes; others keep
     their other columns (``size_col``, if there, is counted again)."""
-    gone = removed_lines(docs, id_col, text_col).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("lines").alias("_lines"))
+    d, t, lines, d0, t0, parts, kept = (free_name(docs, n) for n in ("d", "t", "lines", "d0", "t0", "parts", "kept"))
+    gone = removed_lines(docs, id_col, text_col).select(F.col("d").alias(d), F.col("t").alias(t), F.col("lines").alias(lines))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = docs.withColumns({"_d0": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST_ID)), "_t0": F.xxhash64(text)})
-    out = own.join(gone, (F.col("_d0") == F.col("_d")) & (F.col("_t0") == F.col("_t")), "left")
+    own = docs.withColumns({d0: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST_ID)), t0: F.xxhash64(text)})
+    out = own.join(gone, (F.col(d0) == F.col(d)) & (F.col(t0) == F.col(t)), "left")
     names = [f"`{c}`" for c in docs.columns]
-    out = settled(out, *names, "_lines", _parts=F.split(F.col(f"`{text_col}`"), "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lines")), lambda k: F.get("_parts", k))
-    out = settled(out, *names, _kept=F.when(F.col("_lines").isNotNull(), kept))
-    out = out.filter(F.col("_kept").isNull() | F.exists("_kept", lambda x: x.rlike(r"\S")))
-    new = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(f"`{text_col}`"))
+    out = settled(out, *names, lines, **{parts: F.split(F.col(f"`{text_col}`"), "\n")})
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines)), lambda k: F.get(parts, k))
+    out = settled(out, *names, **{kept: F.when(F.col(lines).isNotNull(), left)})
+    out = out.filter(F.col(kept).isNull() | F.exists(kept, lambda x: x.rlike(r"\S")))
+    new = F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(f"`{text_col}`"))
     cols = []
     for c in docs.columns:
         if c == text_col:
             cols.append(new.alias(c))
         elif c == size_col:
-            cols.append(F.when(F.col("_kept").isNotNull(), F.length(new)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(F.col(kept).isNotNull(), F.length(new)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     return out.select(*cols)
