@@ -5,19 +5,26 @@ score of the shorter context; a word alone has count / N. A document must not vo
 occurrences are taken off every count before (leave-one-out). An unseen word counts half.
 
 The join of n-grams to counts is relational, by hash partition, but rows are packed, since a row for each
-n-gram occurrence would be several times the texts:
+n-gram occurrence would be ten times the texts:
 
-1. Documents are gathered into chunks of about ``CHUNK_WORDS`` words, written out as indices into the chunk's
-   word hashes.
+1. Documents are gathered into chunks of about ``CHUNK_WORDS`` words, written as indices into the chunk's vocabulary
+   of word hashes, frequent words first.
 2. For every order and part (a range of the hash, about ``PART_WORDS`` of the corpus' words each, so their
-   number grows with the corpus) a chunk asks for its distinct n-grams: sorted hashes, delta-coded, and how
-   often each occurs in the chunk. Requests meet by (order, part), which is that partition of the count
-   table; counts are added up, and each chunk is answered in the order in which it asked. No key is hot: a
+   number grows with the corpus) a chunk explodes its n-grams into a packed request: sorted hashes, delta-coded, and
+   how often each occurs in the chunk. Requests meet by (order, part): there that partition of the count
+   table is made, and joined to the requests, each of which is answered in the order in which it asked. No key is hot: a
    frequent n-gram is one entry of each chunk's request, however often it occurs.
-3. Answers meet their chunk, and every document's n-grams are scored and summed.
+3. Answers meet their chunk (they are as many as its n-grams, whatever the corpus holds), and every document's
+   n-grams are scored and summed.
 
-Defined results: null text has no words, score 0 and null ``per_word``. Repeated ids and rows are documents
-of their own (each vouches for its copies). Words are runs of anything but white space, A-Z lowered.
+Hashes of n-grams are as wide as the corpus needs, ``SPARE_BITS`` above the number of its words and 64 at most: of four
+million n-grams one may be taken for another. Where a corpus has so many parts that a request holds few n-grams, packed rows
+become as many as exploded ones would be, never more.
+
+Defined results: null or empty text has no words, score 0 and null ``per_word``. Repeated ids and rows are documents
+of their own (each vouches for its copies), and a null id stays null. Words are runs of anything but white space (space and the
+controls from tab to carriage return), A-Z lowered. Texts are scored whole, however long; equal n-grams count each time. An empty table gives
+an empty one. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +34,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordHashes, id_text, materialise, ngram_hashes, utf8
+from larkspur.llm.common import id_text, materialise, mix, utf8
 
-ORDER, QUERY_ORDER, ALPHA = 2, 3, 0.4
+ORDER, ALPHA = 3, 0.4
 CHUNK_WORDS = PART_WORDS = 1_000_000
+SPARE_BITS = 22
+SLICE_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -72,41 +84,76 @@ def unpack_counts(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return counts, at + 4 + size
 
 
-def _chunks(batches):
-    """(ids, word hashes of each document), about CHUNK_WORDS words at a time."""
-    words = WordHashes()
-    ids, docs, held = [], [], 0
-    for batch in batches:
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
-            w = words.of(raw.lower().split())
-            ids.append(doc_id)
-            docs.append(w)
-            held += len(w)
-            if held >= CHUNK_WORDS:
-                yield ids, docs
-                ids, docs, held = [], [], 0
-    if ids:
-        yield ids, docs
+def _slices(batch: pa.RecordBatch):
+    """Parts of a batch with about SLICE_BYTES of text, or one row of more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]))
+    for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield batch.slice(first, last - first)
 
 
-def _grams(docs: list[np.ndarray], n: int) -> np.ndarray:
-    return np.concatenate([ngram_hashes(w, n) for w in docs]) if docs else np.zeros(0, _U)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of all texts in turn, words of each text)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    starts, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), _U, len(coded.dictionary))
+    before = np.concatenate(([0], np.cumsum(full)))[starts - starts[0]]
+    return hashed[coded.indices.to_numpy()], np.diff(before)
 
 
-def _edges(parts: int) -> np.ndarray:
-    return np.array([2**64 * k // parts for k in range(1, parts)], _U)
+def _chunks(batches):
+    """(ids, words of each document, word hashes), about CHUNK_WORDS words at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for part in _slices(batch):
+            flat, size = word_hashes(part.column("text"))
+            ids, at, ends = part.column("doc_id"), 0, np.cumsum(size)
+            while at < len(size):
+                done = int(ends[at - 1]) if at else 0
+                upto = min(int(np.searchsorted(ends, done + CHUNK_WORDS - n)) + 1, len(size))
+                held.append((ids.slice(at, upto - at), size[at:upto], flat[done : ends[upto - 1]]))
+                n += int(ends[upto - 1]) - done
+                at = upto
+                if n >= CHUNK_WORDS:
+                    yield _joined(held)
+                    held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    ids, size, flat = zip(*held, strict=True)
+    return pa.concat_arrays(ids), np.concatenate(size), np.concatenate(flat)
+
+
+def _grams(flat: np.ndarray, doc: np.ndarray, order: int, bits: int):
+    """For n from 1 to order: (hash of each n-gram, place of its last word); none crosses from one document to the next."""
+    out = np.zeros(len(flat), _U)
+    for n in range(1, order + 1):
+        m = max(len(flat) - n + 1, 0)
+        out = mix(out[:m] + flat[n - 1 :][:m] + _U(n))
+        inside = np.flatnonzero(doc[:m] == doc[n - 1 :][:m])
+        yield out[inside] >> _U(64 - bits), inside + n - 1
 
 
-def _requests(chunks: DataFrame, order: int, parts: int) -> DataFrame:
+def _edges(parts: int, bits: int) -> np.ndarray:
+    return np.array([(k << bits) // parts for k in range(1, parts)], _U)
+
+
+def _requests(chunks: DataFrame, order: int, parts: int, bits: int) -> DataFrame:
     """``chunk, ord, part, data`` of every chunk."""
 
     def rows(batches):
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), utf8(batch, "data"), strict=True):
-                docs = unpack_documents(data)
-                for n in range(1, order + 1):
-                    got, counts = np.unique(_grams(docs, n), return_counts=True)
-                    cut = np.searchsorted(got, _edges(parts))
+                size, flat = unpack_documents(data)
+                doc = np.repeat(np.arange(len(size)), size)
+                for n, (grams, _) in enumerate(_grams(flat, doc, order, bits), 1):
+                    got, counts = np.unique(grams, return_counts=True)
+                    cut = np.searchsorted(got, _edges(parts, bits))
                     out = [(part, pack(g, c)) for part, (g, c) in enumerate(zip(np.split(got, cut), np.split(counts, cut), strict=True)) if len(g)]
                     if out:
                         part, packed = zip(*out, strict=True)
@@ -116,15 +163,18 @@ def _requests(chunks: DataFrame, order: int, parts: int) -> DataFrame:
     return chunks.select("chunk", "data").mapInArrow(rows, "chunk long, ord int, part int, data binary")
 
 
+def count_table(asked: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One partition of the count table from all requests of it: (n-grams, totals, where each request entry stands)."""
+    keys, back = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([c for _, c in asked]), len(keys)).astype(np.int64), back
+
+
 def _answers(requests: DataFrame) -> DataFrame:
     """``chunk, ord, part, data``: totals over all chunks, in the order of the request."""
 
     def meet(table: pa.Table) -> pa.Table:
         asked = [unpack(d.as_py()) for d in table.column("data")]
-        every = np.concatenate([h for h, _ in asked])
-        keys, back = np.unique(every, return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, back, np.concatenate([c for _, c in asked]))
+        _, total, back = count_table(asked)
         answer, at = [], 0
         for h, _ in asked:
             answer.append(pack_counts(total[back[at : at + len(h)]]))
@@ -134,46 +184,57 @@ def _answers(requests: DataFrame) -> DataFrame:
     return requests.groupBy("ord", "part").applyInArrow(meet, "chunk long, ord int, part int, data binary")
 
 
-def _score(docs: list[np.ndarray], answers: list[dict], order: int, parts: int, total: int):
-    """(words, score) of each document of a chunk."""
-    tables = []
-    for n in range(1, order + 1):
-        keys = np.unique(_grams(docs, n))
-        size = np.diff(np.concatenate(([0], np.searchsorted(keys, _edges(parts)), [len(keys)])))
-        mine = sorted((a["part"], a["data"]) for a in answers if a["ord"] == n)
-        counts = [unpack_counts(data, 0, int(size[part]))[0] for part, data in mine]
-        tables.append((keys, np.concatenate(counts) if counts else np.zeros(0, np.int64)))
-    for w in docs:
-        if not len(w):
-            yield 0, 0.0
-            continue
-        counts = []  # of the n-gram that ends at each word, without this document's own
-        for n, (keys, values) in enumerate(tables, 1):
-            got, where, own = np.unique(ngram_hashes(w, n), return_inverse=True, return_counts=True)
-            left = values[np.searchsorted(keys, got)] - own
-            counts.append(np.concatenate((np.zeros(min(n - 1, len(w)), np.int64), left[where])))
-        score = np.log(np.maximum(counts[0], 0.5) / max(total - len(w), 1))
-        for n in range(2, order + 1):
-            here, context = counts[n - 1], np.maximum(np.concatenate(([1], counts[n - 2][:-1])), 1)
-            fallback = score + np.where(np.arange(len(w)) >= n - 1, np.log(ALPHA), 0.0)
+def _left(grams: np.ndarray, doc: np.ndarray, answers: list, parts: int, bits: int) -> np.ndarray:
+    """The corpus' count of each n-gram, without the occurrences in its own document."""
+    order = np.argsort(grams, kind="stable")  # documents are in order among equal ones
+    grams, doc = grams[order], doc[order]
+    new = np.concatenate(([True], grams[1:] != grams[:-1]))[: len(grams)]
+    first = np.flatnonzero(new)
+    size = np.diff(np.concatenate(([0], np.searchsorted(grams[first], _edges(parts, bits)), [len(first)])))
+    totals = np.concatenate([unpack_counts(data, 0, int(size[part]))[0] for part, data in sorted(answers)]) if answers else np.zeros(0, np.int64)
+    mine = np.flatnonzero(new | np.concatenate(([True], doc[1:] != doc[:-1]))[: len(grams)])
+    own = np.diff(np.concatenate((mine, [len(grams)])))
+    out = np.empty(len(grams), np.int64)
+    out[order] = totals[np.cumsum(new) - 1] - np.repeat(own, own)
+    return out
+
+
+def _score(size: np.ndarray, flat: np.ndarray, answers: list[dict], order: int, parts: int, bits: int, total: int) -> np.ndarray:
+    """The score of each document of a chunk."""
+    doc = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    shorter = score = None
+    for n, (grams, last) in enumerate(_grams(flat, doc, order, bits), 1):
+        here = np.zeros(len(flat), np.int64)
+        here[last] = _left(grams, doc[last], [(a["part"], a["data"]) for a in answers if a["ord"] == n], parts, bits)
+        if n == 1:
+            score = np.log(np.maximum(here, 0.5) / np.maximum(total - size, 1)[doc])
+        else:
+            context = np.maximum(np.concatenate(([1], shorter[:-1])), 1)
+            fallback = score + np.where(place >= n - 1, np.log(ALPHA), 0.0)
             score = np.where(here > 0, np.log(np.maximum(here, 1) / context), fallback)
-        yield len(w), float(score.sum())
+        shorter = here
+    out = np.zeros(len(size))
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(score, (np.cumsum(size) - size)[some])
+    return out
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, score, per_word``: the sum of log scores, and it divided by the number of words."""
     chunks = materialise(_pack_chunks(id_text(docs, id_col, text_col)), "chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
-    parts = total // PART_WORDS + 1
-    answers = _answers(_requests(chunks, order, parts))
+    parts, bits = total // PART_WORDS + 1, min(64, total.bit_length() + SPARE_BITS)
+    answers = _answers(_requests(chunks, order, parts, bits))
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("ord", "part", "data")).alias("answers"))
 
     def rows(batches):
         for batch in batches:
             for k, data in enumerate(utf8(batch, "data")):
-                got = batch.column("answers")[k].as_py() or []
-                n, score = zip(*_score(unpack_documents(data), got, order, parts, total), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("ids")[k].values, pa.array(n, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_words", "score"])
+                size, flat = unpack_documents(data)
+                score = _score(size, flat, batch.column("answers")[k].as_py() or [], order, parts, bits, total)
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[k].values, pa.array(size), pa.array(score)], ["doc_id", "n_words", "score"])
 
     out = chunks.join(answers, "chunk", "left").select("ids", "data", "answers").mapInArrow(rows, "doc_id long, n_words long, score double")
     return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
@@ -186,32 +247,34 @@ def _pack_chunks(texts: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        for number, (ids, docs) in enumerate(_chunks(batches)):
-            cols = [pa.array([task << 32 | number]), pa.array([sum(map(len, docs))]), pa.array([ids], pa.list_(pa.int64())), pa.array([pack_documents(docs)], pa.binary())]
+        for number, (ids, size, flat) in enumerate(_chunks(batches)):
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            cols = [pa.array([task << 32 | number]), pa.array([len(flat)]), listed, pa.array([pack_documents(size, flat)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["chunk", "n_words", "ids", "data"])
 
     return texts.mapInArrow(rows, "chunk long, n_words long, ids array<long>, data binary")
 
 
-def pack_documents(docs: list[np.ndarray]) -> bytes:
-    """Documents as indices, byte plane by byte plane, into their sorted distinct word hashes."""
-    vocabulary, index = np.unique(np.concatenate(docs), return_inverse=True)
-    planes = index.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    width = 1 + max((k for k in range(4) if planes[k].any()), default=0)
-    size = np.array([len(w) for w in docs], "<u4")
-    head = struct.pack("<IIB", len(docs), len(index), width) + size.tobytes()
-    return head + pack(vocabulary, np.ones(len(vocabulary), np.int64)) + b"".join(planes[k].tobytes() for k in range(width))
+def pack_documents(size: np.ndarray, flat: np.ndarray) -> bytes:
+    """Documents as indices, byte plane by byte plane, into their distinct word hashes, the most frequent first."""
+    vocabulary, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.argsort(-counts, kind="stable")
+    back = np.empty(len(rank), "<u4")
+    back[rank] = np.arange(len(rank))
+    planes = back[index].view(np.uint8).reshape(-1, 4).T
+    body = zstandard.ZstdCompressor(level=1).compress(size.astype("<u4").tobytes() + np.ascontiguousarray(planes).tobytes())
+    return struct.pack("<III", len(size), len(flat), len(vocabulary)) + vocabulary[rank].astype("<u8").tobytes() + body
 
 
-def unpack_documents(data: bytes) -> list[np.ndarray]:
-    n_docs, n, width = struct.unpack_from("<IIB", data)
-    size = np.frombuffer(data, "<u4", n_docs, 9).astype(np.int64)
-    vocabulary, _ = unpack(data[9 + 4 * n_docs :])
-    planes = np.zeros((4, n), np.uint8)
-    for k in range(width):
-        planes[k] = np.frombuffer(data, np.uint8, n, len(data) - (width - k) * n)
-    return np.split(vocabulary[np.ascontiguousarray(planes.T).view("<u4").ravel()], np.cumsum(size)[:-1])
+def unpack_documents(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each document, word hashes)."""
+    n_docs, n, words = struct.unpack_from("<III", data)
+    vocabulary = np.frombuffer(data, "<u8", words, 12)
+    body = zstandard.ZstdDecompressor().decompress(data[12 + 8 * words :])
+    size = np.frombuffer(body, "<u4", n_docs).astype(np.int64)
+    planes = np.frombuffer(body, np.uint8, 4 * n, 4 * n_docs).reshape(4, n)
+    return size, vocabulary[np.ascontiguousarray(planes.T).view("<u4").ravel()].astype(_U)
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_ORDER)
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -88,7 +88,7 @@ def test_lm_scores(docs, odd, none, order):
 
 def test_lm_scores_over_many_chunks_and_parts(docs, monkeypatch):
     monkeypatch.setattr(lmscore, "PART_WORDS", 100)
-    got = {r.doc_id: round(r.score, 6) for r in lmscore.lm_scores(docs).collect()}
+    got = {r.doc_id: round(r.score, 6) for r in lmscore.lm_scores(docs, 2).collect()}
     assert got == {i: round(s, 6) for i, _, s in brute.backoff(pairs(docs), 2)}
     h = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     c = np.arange(len(h)) * 7
