@@ -21,7 +21,7 @@ def _same(df: DataFrame) -> tuple:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links(a, b)``; the component is its smallest node. Each star
-    step is a min per node (combined before the shuffle) and a join that AQE may split."""
+    step is a min per node (combined before the shuffle), written out so that AQE may split the join that follows."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     edges = materialise(edges, "edges")
     seen = _same(edges)
@@ -29,13 +29,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = materialise(large, "large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _same(after)
-        release(edges)
+        release(edges, low, large, least)
         edges = after
         if now == seen:
             break
@@ -102,8 +103,8 @@ def linked_components(
 
     for k in range(rounds):
         members = torn(members, F.col("degree") if k == 0 else F.xxhash64("node", F.lit(k)))
-        pairs = members.filter("component != main").select(*ordered("node", "pivot")).distinct()
-        pairs = pairs.join(mine("a"), "a").join(mine("b"), "b").filter(likely("a_", "b_")).select("a", "b")
+        asked = materialise(members.filter("component != main").select(*ordered("node", "pivot")).distinct(), "asked")
+        pairs = asked.join(mine("a"), "a").join(mine("b"), "b").filter(likely("a_", "b_")).select("a", "b")
         links = materialise(verify(pairs), "links")
         if links.isEmpty():
             break
