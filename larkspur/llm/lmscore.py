@@ -40,9 +40,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import id_text, materialise, mix, utf8
+from larkspur.llm.common import id_text, mix, utf8
 
 ORDER, ALPHA = 3, 0.4
+WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_WORDS = PART_WORDS = 1_000_000
 SPARE_BITS = 22
 SLICE_BYTES = 4 << 20
@@ -160,7 +161,7 @@ def _requests(chunks: DataFrame, order: int, parts: int, bits: int) -> DataFrame
                         cols = [pa.array([chunk] * len(out), pa.int64()), pa.array([n] * len(out), pa.int32()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())]
                         yield pa.RecordBatch.from_arrays(cols, ["chunk", "ord", "part", "data"])
 
-    return chunks.select("chunk", "data").mapInArrow(rows, "chunk long, ord int, part int, data binary")
+    return chunks.mapInArrow(rows, "chunk long, ord int, part int, data binary")
 
 
 def count_table(asked: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,9 +224,11 @@ def _score(size: np.ndarray, flat: np.ndarray, answers: list[dict], order: int,
 
 def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, score, per_word``: the sum of log scores, and it divided by the number of words."""
-    chunks = materialise(_pack_chunks(id_text(docs, id_col, text_col)), "chunks")
-    total = chunks.agg(F.sum("n_words")).first()[0] or 0
+    texts = id_text(docs, id_col, text_col)
+    total = texts.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     parts, bits = total // PART_WORDS + 1, min(64, total.bit_length() + SPARE_BITS)
+    # shuffled once, and read from there both for the requests and for the join with the answers
+    chunks = _pack_chunks(texts).repartition("chunk")
     answers = _answers(_requests(chunks, order, parts, bits))
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("ord", "part", "data")).alias("answers"))
 
@@ -241,7 +244,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
 
 
 def _pack_chunks(texts: DataFrame) -> DataFrame:
-    """``chunk, n_words, ids, data`` of every chunk."""
+    """``chunk, ids, data`` of every chunk."""
 
     def rows(batches):
         from pyspark import TaskContext
@@ -249,10 +252,10 @@ def _pack_chunks(texts: DataFrame) -> DataFrame:
         task = TaskContext.get().partitionId()
         for number, (ids, size, flat) in enumerate(_chunks(batches)):
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            cols = [pa.array([task << 32 | number]), pa.array([len(flat)]), listed, pa.array([pack_documents(size, flat)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["chunk", "n_words", "ids", "data"])
+            cols = [pa.array([task << 32 | number]), listed, pa.array([pack_documents(size, flat)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "data"])
 
-    return texts.mapInArrow(rows, "chunk long, n_words long, ids array<long>, data binary")
+    return texts.mapInArrow(rows, "chunk long, ids array<long>, data binary")
 
 
 def pack_documents(size: np.ndarray, flat: np.ndarray) -> bytes:
