@@ -48,10 +48,12 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """``key, node, size`` of the rows of ``members(key, node)`` whose key has several nodes, written out."""
-    many = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    many = materialise(many, "keys")  # an aggregate inside the join's stage would keep AQE from splitting a hot key
-    return materialise(members.join(many, "key").select("key", "node", "size"), "buckets")
+    """``key, node, size`` of the rows of ``members(key, node)`` whose key has several nodes, written out. Of keys with
+    the same nodes (known by their number, least, largest, and two hashes over all) one is enough."""
+    of_all = [F.try_sum(F.shiftright(F.xxhash64("node"), 20)).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")]
+    many = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"), *of_all).filter("lo < hi")
+    many = materialise(many.groupBy("lo", "hi", "size", "s", "x").agg(F.min("key").alias("key")), "keys")  # an aggregate inside the join's stage would keep AQE from splitting a hot key
+    return materialise(members.join(many.select("key", "size"), "key").select("key", "node", "size"), "buckets")
 
 
 def linked_components(
@@ -104,6 +106,8 @@ def linked_components(
     for k in range(rounds):
         members = torn(members, F.col("degree") if k == 0 else F.xxhash64("node", F.lit(k)))
         asked = materialise(members.filter("component != main").select(*ordered("node", "pivot")).distinct(), "asked")
+        if asked.isEmpty():  # every bucket is in one component
+            break
         pairs = asked.join(mine("a"), "a").join(mine("b"), "b").filter(likely("a_", "b_")).select("a", "b")
         links = materialise(verify(pairs), "links")
         if links.isEmpty():

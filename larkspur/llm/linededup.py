@@ -7,18 +7,18 @@ lines; below ``LEAST`` characters no edit is allowed. Of each connected group th
 (document id, text hash, line number) stays.
 
 Candidates meet by pigeonhole: a line is cut into blocks, and where there are fewer edits than blocks one stays
-unharmed. The blocks are cut from the line itself and not from the bits of a SimHash of it: one changed word in
-20 turns 7 of 64 bits, so that a SimHash would have to be looked up at a radius of 8 or more, in blocks of 7
-bits, which nearly all lines share.
+unharmed. The blocks are cut from the line and not from the bits of its SimHash: one changed word in 20 turns 7 of
+64 bits, so that a SimHash would have to be looked up at a radius of 8 or more, in blocks of 7 bits, which nearly all lines share.
 
 * A block ends after each word whose hash says so (one in ``CUT``), hence inserted words move no other block. Blocks of
-  under ``SHORT`` characters are no keys.
+  under ``SHORT`` words are no keys.
 * Lines with fewer than ``FEW`` such blocks also have their beginning and their end for blocks, of two lengths at
-  most half the line, of which lines at 90 % have one in common; so a single edit is always found.
+  most half the line, of which lines at 90 % have one in common; so a single edit in such a line is always found.
 
 A key that several lines share is looked at again with the line's length (in classes of which like lines share one);
-within it ``linked_components`` gathers groups without listing their pairs. Counts of letters are looked at before
-the edit distance, which is looked for in a narrow band first.
+within it ``linked_components`` gathers groups without listing their pairs. Before the edit distance, lines of ``SURE``
+words or more must have SimHashes within ``RADIUS`` of 63 bits (unrelated lines differ by 30 bits, like ones by 13 at most
+on the test tables), and counts of letters must fit. The distance is taken between what is left without the common beginning and end.
 
 Defined results: null text has no lines, the empty text none either. A null document id takes part as the largest
 id there is. Rows that repeat both id and text are one document, and lose the same lines; rows that repeat an id
@@ -36,7 +36,8 @@ from larkspur.llm.common import free_name, materialise, release
 from larkspur.llm.components import linked_components, shared_buckets
 
 SIMILAR, LEAST = 90, 10
-CUT, SHORT, FEW = 5, 14, 8
+CUT, SHORT, FEW = 5, 3, 3
+RADIUS, SURE = 22, 8
 _GROWTH = 1.35
 _LETTERS = " etaoinshrdlucgmpwbfv"
 _LAST_ID = 2**63 - 1
@@ -90,21 +91,26 @@ def _letters(norm: Column) -> Column:
     return F.array(*[F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in _LETTERS])
 
 
-def _blocks(norm: Column) -> Column:
-    """The blocks of a normalised line that are long enough for keys."""
-    ends = lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(CUT)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)
-    cut = F.split(F.array_join(F.transform(F.split(norm, " "), ends), " "), "\n ?")
-    return F.filter(cut, lambda b: F.length(b) >= SHORT)
+def _last_words(hashes: Column) -> Column:
+    """Places of the words after which a block ends: one in CUT by hash, and the last."""
+    ends = lambda h, i: F.when((F.pmod(h, F.lit(CUT)) == 0) | (i == F.size(hashes) - 1), i).otherwise(-1)
+    return F.array_remove(F.transform(hashes, ends), -1)
+
+
+def _blocks(hashes: Column, ends: Column) -> Column:
+    """Hashes of the blocks of SHORT words and more."""
+    before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(-1))
+    block = lambda e, k: F.when(e - before(k) >= SHORT, F.xxhash64(F.slice(hashes, before(k) + 2, e - before(k))))
+    return F.array_compact(F.transform(ends, block))
 
 
 def _keys(norm: Column, size: Column, blocks: Column) -> Column:
-    """Hashes of the blocks and, of a line with few, of its beginning and end; none below LEAST characters."""
+    """The blocks and, of a line with few, its beginning and end; none below LEAST characters."""
     step = F.floor(F.log(size / LEAST) / F.log(F.lit(_GROWTH)) + 1e-9).cast("int")
     width = lambda j: F.floor(F.lit(LEAST // 2) * F.pow(F.lit(_GROWTH), j)).cast("int")
-    ends = lambda j: F.array(F.xxhash64(F.lit("begins"), j, F.left(norm, width(j))), F.xxhash64(F.lit("ends"), j, F.right(norm, width(j))))
-    both = F.when(step > 0, F.concat(ends(step), ends(step - 1))).otherwise(ends(step))
-    inner = F.transform(blocks, lambda b: F.xxhash64(b))
-    return F.when(size < LEAST, F.array().cast("array<bigint>")).when(F.size(blocks) < FEW, F.concat(inner, both)).otherwise(inner)
+    edge = lambda j: F.array(F.xxhash64(F.lit("begins"), j, F.left(norm, width(j))), F.xxhash64(F.lit("ends"), j, F.right(norm, width(j))))
+    both = F.when(step > 0, F.concat(edge(step), edge(step - 1))).otherwise(edge(step))
+    return F.when(size < LEAST, F.array().cast("array<bigint>")).when(F.size(blocks) < FEW, F.concat(blocks, both)).otherwise(blocks)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,12 +124,19 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
+def _word_hashes(norm: Column) -> Column:
+    return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
+
+
 def _lines(named: DataFrame) -> DataFrame:
     """``d, t, pos, size, k1, k2, keys`` of every line that has a word."""
     lines = named.select("d", "t", F.posexplode(F.split(_normal(F.col("text")), "\n")).alias("pos", "line")).filter("line != '' AND line != ' '")
     lines = settled(lines, "d", "t", "pos", norm=F.trim("line"))
-    lines = settled(lines, "d", "t", "pos", "norm", size=F.length("norm"), blocks=_blocks(F.col("norm")))
-    return lines.select("d", "t", "pos", "size", F.xxhash64("norm").alias("k1"), F.hash("norm").alias("k2"), _keys(F.col("norm"), F.col("size"), F.col("blocks")).alias("keys"))
+    lines = settled(lines, "d", "t", "pos", "norm", size=F.length("norm"), hashes=_word_hashes(F.col("norm")))
+    lines = settled(lines, "d", "t", "pos", "norm", "size", "hashes", ends=_last_words(F.col("hashes")))
+    lines = settled(lines, "d", "t", "pos", "norm", "size", blocks=_blocks(F.col("hashes"), F.col("ends")))
+    keys = _keys(F.col("norm"), F.col("size"), F.col("blocks"))
+    return lines.select("d", "t", "pos", "size", F.xxhash64("norm").alias("k1"), F.hash("norm").alias("k2"), keys.alias("keys"))
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
@@ -141,23 +154,53 @@ def _buckets(lines: DataFrame) -> DataFrame:
 
 
 def _texts(lines: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, norm, size, letters`` of the lines in question, from one document each."""
+    """``node, norm, size, letters, fp`` of the lines in question, from one document each."""
+    repeated = not named.groupBy("d", "t").count().filter("count > 1").isEmpty()  # such documents name their lines more than once
     found = lines.join(nodes, lines["k1"] == nodes["node"]).groupBy("node").agg(F.min(F.struct("d", "t", "pos")).alias("first"))
     spots = materialise(found.groupBy("first.d", "first.t").agg(F.collect_set(F.struct("first.pos", "node")).alias("spots")), "spots")
     held = settled(named.select("d", "t", "text").join(spots, ["d", "t"]), "spots", all=F.split(_normal(F.col("text")), "\n"))
     held = held.select(F.inline(F.transform("spots", lambda x: F.struct(x["node"].alias("node"), F.trim(F.get("all", x["pos"])).alias("norm")))))
-    held = held.dropDuplicates(["node"])  # a repeated document names its lines again
-    out = materialise(held.select("node", "norm", F.length("norm").alias("size"), _letters(F.col("norm")).alias("letters")), "norms")
+    if repeated:
+        held = held.dropDuplicates(["node"])
+    held = settled(held, "node", "norm", size=F.length("norm"), hashes=_word_hashes(F.col("norm")))
+    out = held.select("node", "norm", "size", _letters(F.col("norm")).alias("letters"), F.when(F.size("hashes") >= SURE, simhash(F.col("hashes"))).alias("fp"))
+    out = materialise(out, "norms")
     release(spots)
     return out
 
 
 def _likely(a: str, b: str) -> Column:
-    """What edit similarity asks of lengths and letters."""
+    """What edit similarity asks of lengths, SimHashes and letters."""
     a_size, b_size = F.col(f"{a}size"), F.col(f"{b}size")
     most = _most(F.greatest(a_size, b_size))
     apart = sum((F.abs(F.get(f"{a}letters", F.lit(k)) - F.get(f"{b}letters", F.lit(k))) for k in range(1, len(_LETTERS))), F.abs(F.get(f"{a}letters", F.lit(0)) - F.get(f"{b}letters", F.lit(0))))
-    return (F.abs(a_size - b_size) <= most) & (apart <= 2 * most)
+    near = F.coalesce(F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= RADIUS, F.lit(True))
+    return (F.abs(a_size - b_size) <= most) & near & (apart <= 2 * most)
+
+
+def _alike(both: DataFrame) -> DataFrame:
+    """``a, b`` of ``both(a, b, a_norm, b_norm)`` with the edit similarity. The common beginning and end are found by
+    halving steps, and change no distance; what is left is short in most like lines."""
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+
+    def common(limit: Column, part) -> Column:
+        longer = lambda k, p: F.when((k + p <= limit) & (part("a", k, p) == part("b", k, p)), k + p).otherwise(k)
+        return F.aggregate(steps, F.lit(0), longer)
+
+    names = ("a", "b", "a_norm", "b_norm", "a_size", "b_size", "most")
+    both = settled(both, "a", "b", "a_norm", "b_norm", a_size=F.length("a_norm"), b_size=F.length("b_norm"))
+    both = both.withColumn("most", _most(F.greatest("a_size", "b_size")))
+    both = settled(both, *names, head=common(F.least("a_size", "b_size"), lambda x, k, p: F.substring(f"{x}_norm", k + 1, p)))
+    tail = common(F.least("a_size", "b_size") - F.col("head"), lambda x, k, p: F.substring(f"{x}_norm", F.col(f"{x}_size") - k - p + 1, p))
+    both = settled(both, *names, "head", tail=tail)
+    left = lambda x: F.substring(f"{x}_norm", F.col("head") + 1, F.col(f"{x}_size") - F.col("head") - F.col("tail"))
+    both = settled(both, "a", "b", "most", a_left=left("a"), b_left=left("b"))
+    # a band as wide as the limit is looked at, -1 is beyond it: most like lines are found in a narrow one
+    near = (
+        "CASE WHEN levenshtein(a_left, b_left, least(most, 8)) >= 0 THEN true WHEN most <= 8 THEN false "
+        "WHEN levenshtein(a_left, b_left, least(most, 32)) >= 0 THEN true WHEN most <= 32 THEN false ELSE levenshtein(a_left, b_left, most) >= 0 END"
+    )
+    return both.filter(F.expr(near)).select("a", "b")
 
 
 def line_groups(lines: DataFrame, named: DataFrame) -> DataFrame:
@@ -167,13 +210,10 @@ def line_groups(lines: DataFrame, named: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
-        side = lambda p: norms.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"), F.col("size").alias(f"{p}_size"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", _most(F.greatest("a_size", "b_size")))
-        # a band as wide as the limit is looked at, -1 is beyond it: most like lines are found in a narrow one
-        near = "CASE WHEN levenshtein(a_norm, b_norm, least(most, 8)) >= 0 THEN true WHEN most <= 8 THEN false WHEN levenshtein(a_norm, b_norm, least(most, 32)) >= 0 THEN true WHEN most <= 32 THEN false ELSE levenshtein(a_norm, b_norm, most) >= 0 END"
-        return both.filter(F.expr(near)).select("a", "b")
+        side = lambda p: norms.select(F.col("node").alias(p), F.col("norm").alias(f"{p}_norm"))
+        return _alike(pairs.join(side("a"), "a").join(side("b"), "b"))
 
-    return linked_components(buckets, norms.select("node", "size", "letters"), _likely, verify)
+    return linked_components(buckets, norms.select("node", "size", "letters", "fp"), _likely, verify)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

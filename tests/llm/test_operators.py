@@ -205,25 +205,61 @@ def test_line_dedup_finds_small_edits_and_odd_rows(spark, odd):
         assert r.s == sum(1 << k for k in range(63) if sum(x >> k & 1 for x in r.h) > len(r.h) // 2)
 
 
+def removed(spark, data):
+    """(lines to remove by edit similarity alone, those that the operator removes)."""
+    got = {r.doc_id: r.removed for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    return tuple({(i, k) for i, x in r.items() for k in x} for r in (brute.line_removals(data), got))
+
+
 def test_line_dedup_finds_edited_lines_of_8_to_40_words(spark):
+    """Edits in one place are all found. Where they stand every ten characters, as many as are allowed, no block of any
+    length is whole: such lines are beyond the candidates, and are in the recall that the next test measures."""
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
-    data = []
+    data, spread = [], set()
     for n in (8, 10, 15, 20, 30, 40):
         for how in range(6):
             line = " ".join(word() for _ in range(n))
             most = len(line) // 10
             new = list(line)
             if how < 3:  # spread over the line, as many as are allowed, and one more
+                spread.add(2 * (len(data) // 2))
                 places = np.linspace(0, len(line) - 1, most + (how == 2)).astype(int)
                 for p in places:
                     new[p] = "" if how == 1 and p < len(line) - 1 else "é"
             else:
                 new[how * 7 : how * 7 + most // 2] = []
-            data += [(2 * len(data), line), (2 * len(data) + 1, "".join(new))]
-    want = brute.line_removals(data)
-    got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert got == want and sum(map(bool, want.values())) >= 25
+            data += [(len(data), line), (len(data) + 1, "".join(new))]
+    want, got = removed(spark, data)
+    assert got <= want and {i for i, _ in want - got} <= {i + 1 for i in spread} and len(want) >= 25
+
+
+def test_line_dedup_recall(spark):
+    """One to four words replaced, put in or taken out, in lines of 8 to 40 words: at least 0.95 are found, and nothing else."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 10))))
+    data = []
+    for n in (8, 10, 12, 15, 20, 25, 30, 40) * 30:
+        old = [word() for _ in range(n)]
+        new = list(old)
+        for _ in range(int(rng.integers(1, 5))):
+            k, tried = int(rng.integers(0, len(new))), list(new)
+            tried[k : k + 1] = [[word()], [word(), new[k]], []][int(rng.integers(0, 3))]
+            if brute.edit(" ".join(old), " ".join(tried)) <= len(" ".join(old)) // 10:
+                new = tried
+        data += [(len(data), " ".join(old)), (len(data) + 1, " ".join(new))]
+    want, got = removed(spark, data)
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 230
+
+
+def test_line_dedup_repeated_rows_long_lines_and_names(spark):
+    line, long = "a line that stands in several places of this table", " ".join(f"word{k}" for k in range(150_000))
+    data = [(1, line), (1, line), (2, line), (3, f"{line}\n{line}"), (4, long), (5, long.replace("word70000", "other")), (2**63 - 1, line), (None, "another one by itself")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in data], "doc_id long, text string, _d int, _t int, _lines int, _D0 int, _parts int, _kept int")
+    got = sorted(((r.doc_id, list(r.removed)) for r in linededup.line_report(df).collect()), key=repr)
+    assert got == sorted([(1, []), (1, []), (2, [0]), (3, [0, 1]), (4, []), (5, [0]), (2**63 - 1, [0]), (None, [])], key=repr)
+    left = linededup.drop_lines(df, size_col=None)
+    assert left.columns == df.columns and sorted((r.doc_id for r in left.collect()), key=repr) == sorted([1, 1, 4, None], key=repr)
 
 
 def test_line_dedup_takes_short_lines(spark):
