@@ -19,6 +19,9 @@ class Settings:
     retrieval_top_k: int = 5
     retrieval_candidate_k: int = 20
     rrf_k: int = 10
+    llm_provider: str = "extractive"
+    llm_model: str = "extractive"
+    judge_model: str = "extractive"
     llm_max_tokens: int = 512
     llm_temperature: float = 0.0
     max_api_calls_per_run: int = 200

@@ -22,19 +22,26 @@ def tokenised(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text
     return chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokens(F.col(text_col)).alias("terms")).withColumn("dl", F.size("terms"))
 
 
-def corpus_stats(tokenised_chunks: DataFrame) -> DataFrame:
-    """One row: ``n, avgdl``."""
-    return tokenised_chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_counts(tokenised_chunks: DataFrame) -> DataFrame:
+    """``term, df, words``: the chunks that hold each term, and in one row with a null term all chunks and their
+    words. One pass over the text; the table (as large as the vocabulary) is kept, since length, mean and idf read it in turn."""
+    rows = tokenised_chunks.select("dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("terms"))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")).persist()
 
 
-def term_stats(tokenised_chunks: DataFrame) -> DataFrame:
+def corpus_stats(counts: DataFrame) -> DataFrame:
+    """``n, avgdl`` in one row, from ``corpus_counts``."""
+    return counts.filter("term IS NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+
+
+def term_stats(tokenised_chunks: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``term, df, idf``: idf is ln(n - df + .5) - ln(df + .5), negative ones replaced by EPSILON times the mean
     of all (which may itself be negative)."""
-    df = tokenised_chunks.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = tokenised_chunks.agg(F.count("*").alias("n"))
-    raw = df.join(F.broadcast(n)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    counts = corpus_counts(tokenised_chunks) if counts is None else counts
+    n = F.broadcast(corpus_stats(counts).select("n"))  # one row
+    raw = counts.filter("term IS NOT NULL").join(n).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
+    return raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def question_terms(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
@@ -43,9 +50,13 @@ def question_terms(questions: DataFrame, id_col: str = "question_id", text_col:
 
 
 def bm25_scores(tokenised_chunks: DataFrame, asked: DataFrame, where: Column | None = None, idf: DataFrame | None = None) -> DataFrame:
-    """``question_id, chunk_id, score`` of the candidates with a score above zero."""
-    idf = term_stats(tokenised_chunks) if idf is None else idf
-    stats = corpus_stats(tokenised_chunks)
+    """``question_id, chunk_id, score`` of the candidates with a score above zero. The text is read twice: for the
+    counts, and for the terms asked for; with ``idf`` from an index once, besides the column of lengths."""
+    if idf is None:
+        counts = corpus_counts(tokenised_chunks)
+        idf, stats = term_stats(tokenised_chunks, counts), corpus_stats(counts)
+    else:
+        stats = tokenised_chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     candidates = tokenised_chunks if where is None else tokenised_chunks.filter(where)
     terms = asked.select("term").distinct()
     tf = candidates.select("chunk_id", "dl", F.explode("terms").alias("term")).join(terms, "term").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))

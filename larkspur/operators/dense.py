@@ -114,6 +114,20 @@ class CellIndex:
         model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=15).fit(data)
         return cls(np.stack(model.clusterCenters()), nlist)
 
+    def settings(self) -> dict:
+        """What an index manifest keeps beside the centres."""
+        return {"nlist": self.nlist, "probe": self.probe}
+
+    def table(self, spark) -> DataFrame:
+        """``cell, centre``, at most ``nlist`` rows."""
+        return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(self.centres)], "cell int, centre array<double>")
+
+    @classmethod
+    def from_table(cls, centres: DataFrame, settings: dict) -> "CellIndex":
+        out = cls(np.array([r["centre"] for r in centres.orderBy("cell").collect()]), settings["nlist"])
+        out.probe = settings["probe"]
+        return out
+
     def retrain(self, vectors: DataFrame) -> "CellIndex | None":
         """A new index over all vectors; None if they are still searched flat."""
         new = self.fit(vectors, self.nlist)

@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 from larkspur.operators.filters import relevance_predicate
 
 
+MAX_RULES = 10_000  # rules that are broadcast at once
+
+
 def resolve_relevance(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``question_id, chunk_id``: chunks that fit each question's rule (``questions(question_id, rule)``), in one
-    pass over the chunks; the rules are the small side of a nested-loop join."""
-    fits = relevance_predicate(F.col("text"), F.col("ticker"), F.col("fiscal_year"), F.col("item"), F.col("rule"))
-    return chunks.join(questions.select("question_id", "rule"), fits).select("question_id", "chunk_id")
+    """``question_id, chunk_id``: chunks that fit each question's rule (``questions(question_id, rule)``). Rules are
+    the small side of a nested-loop join, at most ``MAX_RULES`` in one pass over the chunks; each text is lowered once."""
+    fits = relevance_predicate(F.col("text"), F.col("ticker"), F.col("fiscal_year"), F.col("item"), F.col("rule"), lowered=True)
+    low = chunks.select("chunk_id", "ticker", "fiscal_year", "item", F.lower("text").alias("text"))
+    rules = questions.select("question_id", "rule")
+    passes = -(-rules.count() // MAX_RULES)
+    out = None
+    for k in range(max(1, passes)):
+        block = rules if passes <= 1 else rules.filter(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == k)
+        part = low.join(F.broadcast(block), fits).select("question_id", "chunk_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def retrieval_metrics(questions: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """For each question: ``n_retrieved, n_relevant, recall, achievable_recall, precision, reciprocal_rank,
-    hit``. Precision is over the rows returned within k, the reciprocal rank over the whole list."""
-    n_rel = relevant.groupBy("question_id").agg(F.countDistinct("chunk_id").alias("n_relevant"))
-    marked = retrieved.join(relevant.select("question_id", "chunk_id", F.lit(True).alias("rel")).distinct(), ["question_id", "chunk_id"], "left")
+    hit``. Precision is over the rows returned within k, the reciprocal rank over the whole list. The relevant pairs
+    are kept, as they are counted and joined."""
+    relevant = relevant.select("question_id", "chunk_id").distinct().persist()
+    n_rel = relevant.groupBy("question_id").agg(F.count("*").alias("n_relevant"))
+    marked = retrieved.join(relevant.withColumn("rel", F.lit(True)), ["question_id", "chunk_id"], "left")
     got = marked.groupBy("question_id").agg(
         F.count("*").alias("n_retrieved"),
         F.count_if(F.col("rank") <= k).alias("within"),
@@ -82,3 +95,8 @@ def chunk_token_stats(chunks: DataFrame) -> DataFrame:
         F.max("n").alias("n"), F.min("token_count").alias("least"), F.min(F.when(F.col("cum") > F.expr("n div 2"), F.col("token_count"))).alias("middle"),
         F.max("token_count").alias("most"), (F.sum(F.col("token_count") * F.col("c")) / F.max("n")).alias("mean"),
     )
+
+
+def top_sections(chunks: DataFrame, n: int = 12, by: tuple[str, ...] = ("item",)) -> DataFrame:
+    """The n sections with most chunks, ties by name."""
+    return chunks.groupBy(*by).agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), *by).limit(n)

@@ -24,12 +24,12 @@ def metadata_predicate(wanted: dict | None, columns: dict[str, str] | None = Non
     return out
 
 
-def relevance_predicate(text: Column, ticker: Column, year: Column, item: Column, rule: Column) -> Column:
+def relevance_predicate(text: Column, ticker: Column, year: Column, item: Column, rule: Column, lowered: bool = False) -> Column:
     """Whether a chunk fits a rule struct: ticker in any case, year and item exactly, every phrase contained
-    in any case; empty parts fit everything."""
+    in any case; empty parts fit everything. ``lowered``: the text is in lower case already."""
     free = lambda c: c.isNull() | (F.size(c) == 0)
     upper = lambda c: F.transform(c, lambda x: F.upper(x))
-    low = F.lower(text)
+    low = text if lowered else F.lower(text)
     return (
         (free(rule["tickers"]) | F.array_contains(upper(rule["tickers"]), F.upper(F.coalesce(ticker, F.lit("")))))
         & (free(rule["fiscal_years"]) | F.array_contains(rule["fiscal_years"], year))

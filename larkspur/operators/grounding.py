@@ -81,6 +81,7 @@ def quotes_expected(answer: Column, expected: Column) -> Column:
     return F.coalesce(F.forall(expected, lambda f: F.contains(bare, F.replace(f, F.lit(","), F.lit("")))), F.lit(True))
 
 
+# The words of the passage heads, of the empty context and of the prompt's frame.
 def passages(retrieved: DataFrame) -> DataFrame:
     """``answer_id, context``: numbered passages of ``retrieved(answer_id, rank, citation, company_name,
     form_type, fiscal_year, item, text)`` in order of rank."""

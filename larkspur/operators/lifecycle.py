@@ -27,6 +27,19 @@ def ticker_directory(raw: DataFrame, column: str = "value") -> DataFrame:
     return rows.groupBy("ticker").agg(F.max_by(F.struct("cik", "company_name"), "pos").alias("x")).select("ticker", "x.*")
 
 
+def resolve_ticker(directory: DataFrame, ticker: str) -> tuple[str, str]:
+    """(cik, company_name); an unknown ticker is an error."""
+    row = directory.filter(F.col("ticker") == ticker.upper()).select("cik", "company_name").first()
+    if row is None:
+        raise KeyError(f"unknown ticker: {ticker}")
+    return row[0], row[1]
+
+
+def display_order(filings: DataFrame) -> DataFrame:
+    """By ticker, the latest fiscal year first."""
+    return filings.orderBy("ticker", F.desc("fiscal_year"))
+
+
 def unzip(arrays: dict[str, Column]) -> Column:
     """Parallel arrays as an array of structs, as long as the shortest."""
     n = F.least(*[F.size(a) for a in arrays.values()]) if len(arrays) > 1 else F.size(next(iter(arrays.values())))
@@ -69,7 +82,8 @@ def next_batch(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str, count: str | None = None) -> DataFrame:
-    """The latest row of each key by ``order``; a zero or null ``count`` keeps the one that was there."""
+    """One row for each key: of ``new`` where it has any, else of ``old``; of several on one side the latest by
+    ``order``. A zero or null ``count`` keeps the one that was there."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     w = Window.partitionBy(key)
     both = both.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_new"), F.desc(order))))

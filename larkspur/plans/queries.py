@@ -36,13 +36,17 @@ def _tok(e: str) -> str:
 
 
 _BM25 = f"""
-tk AS (SELECT doc_id AS chunk_id, source, lang, {_tok("text")} AS terms FROM documents),
-st AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM tk),
-df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM tk) GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN CAST({bm25.EPSILON} AS DOUBLE) * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+stop AS (SELECT unnest({_STOP}) AS term),
+kept AS MATERIALIZED (SELECT chunk_id, term FROM (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '{_PATTERN}')) AS term FROM documents) ANTI JOIN stop USING (term)),
+tk AS (SELECT doc_id AS chunk_id, source, lang, coalesce(dl, 0) AS dl FROM documents LEFT JOIN (SELECT chunk_id, count(*) AS dl FROM kept GROUP BY ALL) ON doc_id = chunk_id),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM tk),
+tc AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM kept GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tc GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+mean AS (SELECT avg(raw) AS mean FROM raw),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN CAST({bm25.EPSILON} AS DOUBLE) * mean ELSE raw END AS idf FROM raw, mean),
 q AS (SELECT item_id AS question_id, unnest(list_distinct({_tok("text")})) AS term FROM benchmark),
-tf AS (SELECT chunk_id, source, lang, dl, term, count(*) AS tf FROM (SELECT chunk_id, source, lang, len(terms) AS dl, unnest(terms) AS term FROM tk) GROUP BY ALL),
+tf AS (SELECT chunk_id, source, lang, dl, term, tf FROM tc JOIN tk USING (chunk_id)),
 sc AS (
   SELECT question_id, chunk_id, any_value(source) AS source, any_value(lang) AS lang,
          sum(idf * tf * CAST({bm25.K1 + 1} AS DOUBLE) / (tf + CAST({bm25.K1} AS DOUBLE) * (CAST({1 - bm25.B} AS DOUBLE) + CAST({bm25.B} AS DOUBLE) * dl / avgdl))) AS score

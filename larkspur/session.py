@@ -16,7 +16,17 @@ def session(master: str | None = None, **conf) -> SparkSession:
     return b.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the files have fewer splits than there are cores, as a file with one row group has;
+    a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; texts, which are long and costly to work on, are spread over all cores (only ``columns``, if given)."""
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    return spread(df) if name in ("documents", "pages") and not {"text", "html"}.isdisjoint(df.columns) else df

@@ -13,19 +13,21 @@ from larkspur.operators.filters import check_user_agent
 
 
 class Pace:
-    """Hands out start times at least 1/rate apart."""
+    """Lets at most ``rate`` callers a second through, one after the other: whoever holds the turn waits out what is left
+    of the gap since the last start, and then passes the turn on."""
 
     def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        if rate <= 0:
+            raise ValueError("the rate is above 0")
         self.gap, self.clock, self.sleep = 1 / rate, clock, sleep
-        self.lock, self.next = threading.Lock(), 0.0
+        self.turn, self.started = threading.Lock(), float("-inf")
 
     def wait(self) -> None:
-        with self.lock:
-            now = self.clock()
-            at = max(now, self.next)
-            self.next = at + self.gap
-        if at > now:
-            self.sleep(at - now)
+        with self.turn:
+            left = self.started + self.gap - self.clock()
+            if left > 0:
+                self.sleep(left)
+            self.started = max(self.clock(), self.started + self.gap) if self.started > float("-inf") else self.clock()
 
 
 class ArchiveClient:
