@@ -9,7 +9,8 @@ An id equals the entry's rank.
 Defined results: null text is the empty text (no ids; the digest of nothing). A pre-token that is itself
 a vocabulary entry takes that entry's id, as in the tiktoken library. Bytes that are not UTF-8 are
 replaced by U+FFFD before encoding. Repeated rows are encoded again; nothing is shuffled, so ties and
-skew don't matter. The model (about a megabyte, fixed by the vocabulary) is the only thing sent out.
+skew don't matter. Texts of any length are taken whole, one at a time. An empty table gives an empty one. Other columns are not
+read, whatever their names. The model (about a megabyte, fixed by the vocabulary) is the only thing sent out.
 """
 
 from __future__ import annotations

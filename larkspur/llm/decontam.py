@@ -20,7 +20,8 @@ At similarity 0.75 fingerprints differ in 11 of 63 bits on average, so RADIUS is
 
 Defined results: null texts and items have no words. An item without words matches nothing. Repeated
 document ids are one document, whose best window counts; a null id is reported as null. Equal items are
-each reported, as are items whose ids repeat, once.
+each reported, as are items whose ids repeat, once. Of windows with equal similarity the first counts. Texts of any length
+are searched whole. An empty table on either side gives an empty one. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise
+from larkspur.llm.common import free_name, materialise
 from larkspur.llm.linededup import settled, simhash
 
 SHINGLE, SIMILAR = 5, 75
@@ -123,8 +124,9 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item."""
-    hit = materialise(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    return docs.join(hit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    name = free_name(docs, "hit")
+    hit = materialise(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(name)).distinct(), "hit")
+    return docs.join(hit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

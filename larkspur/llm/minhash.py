@@ -12,7 +12,8 @@ together are larger than the texts.
 
 Defined results: null text, or one without words, has an empty set, is linked with nothing and is its own
 component. Rows that repeat a document id are one document: they are linked if any of them is. A null id
-gets a null component and is kept. Ties need no rule, as the component is the smallest id.
+gets a null component and is kept. Ties need no rule, as the component is the smallest id. Texts of any length are taken whole.
+An empty table gives an empty one. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordHashes, id_text, map_arrow, materialise, mix, ngram_hashes, release, utf8
+from larkspur.llm.common import WordHashes, free_name, id_text, map_arrow, materialise, mix, ngram_hashes, release, utf8
 from larkspur.llm.components import connected_components, linked_components, shared_buckets
 
 WORDS = 5
@@ -49,8 +50,7 @@ def shingle_set(raw: bytes, hashes: WordHashes) -> np.ndarray:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least of ``(a x + b) mod 2^64`` under each universal hash, upper halves compared; long sets are
-    taken in pieces."""
+    """The least of ``(a x + b) mod 2^64`` under each universal hash; long sets are taken in pieces."""
     low = np.full(len(_MUL), np.uint64(2**64 - 1))
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096]
@@ -153,8 +153,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component, the rows of its smallest id."""
-    gone = materialise(near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = materialise(near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

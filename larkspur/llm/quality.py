@@ -12,7 +12,8 @@ result does not depend on the order or partitioning of rows.
 
 Defined results: null text has no words and fails the base rules. A null language or source is a group of
 its own. Only documents that pass the base rules enter the sketches. Rows are judged one by one: repeated
-ids and rows stay as they are, and an empty table gives an empty result.
+ids and rows stay as they are, and an empty table gives an empty result. Texts are measured whole, however long. A rate
+equal to a fence is inside.
 """
 
 from __future__ import annotations

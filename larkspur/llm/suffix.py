@@ -19,7 +19,8 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere els
 Texts are known by 128 bits of their SHA-256, so that null and repeated document ids do no harm.
 
 Defined results: null text is empty; a text of under LENGTH bytes is never touched, a repeated row of at
-least that length is removed whole, in all its copies. Touching runs are one run.
+least that length is removed whole, in all its copies. Touching runs are one run. Texts of any length are taken whole, in pieces. An
+empty table gives an empty one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ class SuffixLevels:
 def _edge_texts(texts: DataFrame, edges: DataFrame) -> DataFrame:
     """``key, a, lo, hi, near``: the neighbourhood's bytes of every row of ``edges(key, a, lo, hi)``."""
     spots = edges.groupBy("key").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("spots"))
-    once = texts.join(spots, "key")
+    once = texts.join(materialise(spots, "spots"), "key")  # a table, so that AQE may split a text that has many copies
 
     def rows(batch):
         key, a, lo, hi, near = [], [], [], [], []
@@ -323,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = [pa.array(which, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha), pa.array(left, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["key", "n_removed", "n_spans", "cut_sha", "kept"])
 
-    cut = map_arrow(texts.join(per_text, "key"), rows, "key binary, n_removed long, n_spans long, cut_sha string, kept binary")
+    cut = map_arrow(texts.join(materialise(per_text, "per_text"), "key"), rows, "key binary, n_removed long, n_spans long, cut_sha string, kept binary")
     cut = materialise(cut.dropDuplicates(["key"]), "cut")
     slim = named.select("doc_id", "key", "sha", F.octet_length("text").cast("long").alias("n_bytes")).join(cut, "key", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)

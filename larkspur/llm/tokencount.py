@@ -10,7 +10,9 @@ Sections are intervals of characters, ``[start, end)``, that cover the text: by
 with its line feed, or named fields that are joined with a separator before encoding.
 
 Defined results: null and empty texts have no sections and no rows. Sections without tokens are listed
-with 0. Every row is attributed on its own; repeated ids give repeated sections. Nothing is shuffled.
+with 0. Every row is attributed on its own; repeated ids give repeated sections. Nothing is shuffled. A tie under
+``most`` goes to the earlier section. Texts of any length are taken whole; an empty table gives an empty one. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ The rule list is part of the code or configuration that calls it, and its size i
 Defined results: a null URL, or one without ``://``, has an empty host and path and so takes the default
 verdict, as does a URL that no rule fits. A host is compared as written (port and user included), with
 only A-Z lowered. Of two rules that fit, the one with more host labels wins, then the one with the longer
-path; of an allow and a block entry for the same place, block wins. A rule path is a plain prefix.
+path; of an allow and a block entry for the same place, block wins. A rule path is a plain prefix. URLs of any length
+are judged whole, repeated rows each on their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ aggregated before they are shuffled, only groups of two or more are joined back,
 ordinary one, broadcast when the written table is small and split by AQE where a payload is hot.
 
 Defined results: null html is the empty payload. A null id is always a response and never referred to.
-Rows that repeat the largest id are all responses. A null url is written as an empty target.
+Rows that repeat the largest id are all responses. A null url is written as an empty target. A payload of any length
+is one record, whole; one beyond ``VOLUME_BYTES`` has a volume to itself. An empty table gives an archive without records. Only the
+named columns are read, so that others may have any names.
 """
 
 from __future__ import annotations
@@ -68,14 +70,18 @@ def _record(page_id, url: bytes, payload: bytes, sha1: str, refers_to) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def dictionary(records: list[bytes]) -> bytes:
+    """Trained on the records, or their first bytes as they are (also a Zstandard dictionary) where these are too few
+    or too much alike to be trained on."""
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, records, k=1024, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(r[: DICT_BYTES // len(records)] for r in records)
+
+
 def build_volume(records: list[bytes]) -> bytes:
     """Dictionary frame and a frame for each record."""
-    raw = b""
-    if len(records) > 7:  # too few records train nothing
-        try:
-            raw = zstandard.train_dictionary(DICT_BYTES, records, k=1024, d=8).as_bytes()
-        except zstandard.ZstdError:
-            raw = b""
+    raw = dictionary(records)
     kind = zstandard.ZstdCompressionDict(raw) if raw else None
     press = zstandard.ZstdCompressor(level=3, dict_data=kind, write_content_size=True)
     return struct.pack("<II", DICT_MAGIC, len(raw)) + raw + b"".join(press.compress(r) for r in records)

@@ -62,3 +62,48 @@ def test_lm_score_counts_trigrams(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.n_words, round(r.score, 5)) for r in entry.queries()["op3_lm_score"](spark, sf).collect()), key=repr)
     assert got == sorted(((i, n, round(s, 5)) for i, n, s in brute.backoff(docs, 3)), key=repr)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and ids, very long and empty texts, names that the operators use; and no rows at all."""
+    text = " ".join(f"word{k:04d} and{k % 7:05d}" for k in range(60))
+    rows = [
+        (1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text.replace("word0003 ", "another0 "), None, None, None), (3, None, "en", "s", 1), (4, "", "en", "s", 0),
+        (None, " ".join(f"lone{k:04d}" for k in range(80)), "en", "s", 5), (5, " ".join(f"w{k:07d}" for k in range(200_000)), "en", "s", 5), (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _d int, _lines int, _gone int, _hit int, node int")
+    spark.createDataFrame([(1, " ".join(f"lone{k:04d}" for k in range(10, 50))), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 1, 5]  # 2 is a near copy of 1, the one without an id holds an item
+    df.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_small_volumes_have_a_dictionary():
+    from larkspur.llm import warc
+
+    for n in (1, 3, 7, 8, 60):
+        records = [warc._record(k, b"http://x.test/", b"<html>page %d</html>" % k * 9, "00" * 20, None) for k in range(n)]
+        assert warc.dictionary(records) and list(warc.read_volume(warc.build_volume(records))) == records
+    assert list(warc.read_volume(warc.build_volume([]))) == []
+
+
+def test_token_queries(spark, sf):
+    """op1 and op6 over their whole tables, against the tiktoken library."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    from larkspur.llm import bpe
+
+    ranks = {b: k for k, b in enumerate(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    ids = {i: own.encode_ordinary(t or "") for i, t in docs}
+    want = sorted((i, len(ids[i]), hashlib.sha256(np.array(ids[i], "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in docs)
+    assert sorted(tuple(r)[:4] for r in entry.queries()["op1_bpe"](spark, sf).collect()) == want
+    counted = entry.queries()["op6_token_counts"](spark, sf).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in counted if r[1]} == {i: len(x) for i, x in ids.items() if x}
