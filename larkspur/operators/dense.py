@@ -1,8 +1,8 @@
 """Dense search: exact, and over cells.
 
 Queries are few and chunks many, so queries travel to the chunks in bounded blocks: each Arrow batch of
-chunks is multiplied with the block's matrix and keeps its k best for each query, so that what is shuffled
-grows with partitions, not with pairs. Filters are applied below.
+chunks is multiplied with the block's matrix, and a task keeps its k best for each query, so that what is shuffled
+grows with tasks, not with pairs. Filters are applied below.
 """
 
 from __future__ import annotations
@@ -61,25 +61,30 @@ def _best(candidates, ids, matrix, k, digits, chunk_type, question_type):
     kind = to_arrow_type(question_type)
     schema = StructType([StructField("question_id", question_type), StructField("chunk_id", chunk_type), StructField("score", DoubleType())])
 
+    def best(asked, found, scores):
+        """The k best of each query among these, by rounded score and then by id."""
+        names = found.to_numpy(zero_copy_only=False)
+        names = names.astype(str) if names.dtype == object else names
+        order = np.lexsort((names, -np.round(scores, digits), asked))
+        first = np.searchsorted(asked[order], asked[order])  # where each row's query begins
+        keep = order[np.arange(len(order)) - first < k]
+        return asked[keep], found.take(pa.array(keep)), scores[keep]
+
     def run(batches):
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = batch.column("vector")
-            vectors = col.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            vectors = batch.column("vector").values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             scores = vectors @ matrix.T
-            rounded = np.round(scores, digits)
-            keep = min(k, batch.num_rows)
-            rows, cols = [], []
-            for q in range(scores.shape[1]):
-                bar = np.partition(rounded[:, q], batch.num_rows - keep)[batch.num_rows - keep]
-                at = np.flatnonzero(rounded[:, q] >= bar)
-                rows.append(at)
-                cols.append(np.full(len(at), q))
-            rows, cols = np.concatenate(rows), np.concatenate(cols)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[c] for c in cols], kind), batch.column("chunk_id").take(pa.array(rows)), pa.array(scores[rows, cols])], ["question_id", "chunk_id", "score"]
-            )
+            rounded, last = np.round(scores, digits), batch.num_rows - min(k, batch.num_rows)
+            rows, asked = np.nonzero(rounded >= np.partition(rounded, last, axis=0)[last])
+            new = (asked, batch.column("chunk_id").take(pa.array(rows)), scores[rows, asked])
+            if held is not None:
+                new = (np.concatenate((held[0], new[0])), pa.concat_arrays([held[1], new[1]]), np.concatenate((held[2], new[2])))
+            held = best(*new)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in held[0]], kind), held[1], pa.array(held[2])], ["question_id", "chunk_id", "score"])
 
     return candidates.mapInArrow(run, schema)
 

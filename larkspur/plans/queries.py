@@ -610,3 +610,21 @@ def event_windows(spark, d):
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g""")
 def event_sessions(spark, d):
     return ingest.sessions(table(spark, d, "events"))
+
+
+# ---------------------------------------------------------------- reports and batches
+
+
+@query("SELECT source, lang, count(*) AS chunks FROM documents GROUP BY ALL ORDER BY chunks DESC, source, lang LIMIT 12")
+def top_sections(spark, d):
+    return evaluation.top_sections(table(spark, d, "documents", "source", "lang"), 12, ("source", "lang"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 100")
+def next_batch(spark, d):
+    return lifecycle.next_batch(lifecycle.pending(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"), "c_custkey", 100)
+
+
+@query("SELECT c_mktsegment AS ticker, CAST(c_nationkey AS INT) AS fiscal_year, c_custkey FROM customer")
+def filing_order(spark, d):
+    return lifecycle.display_order(table(spark, d, "customer").select(F.col("c_mktsegment").alias("ticker"), F.col("c_nationkey").cast("int").alias("fiscal_year"), "c_custkey"))
