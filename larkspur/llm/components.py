@@ -95,7 +95,9 @@ def linked_components(
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("rank", "node")).alias("top"))
         main = parts.groupBy("key").agg(F.max(F.struct("n", "top", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
         main = materialise(main.select("key", F.col("m.top.node").alias("pivot"), F.col("m.component").alias("main")), "main")
-        return materialise(placed.join(main, "key").select("key", "node", "component", "main", "pivot"), "torn")
+        out = materialise(placed.join(main, "key").select("key", "node", "component", "main", "pivot"), "torn")
+        release(placed, main)
+        return out
 
     def joined(links: DataFrame) -> DataFrame:
         if comps is not None:
@@ -103,18 +105,24 @@ def linked_components(
             links = stars.unionByName(links.select("a", "b"))
         return materialise(connected_components(links), "components")
 
+    spent = []
     for k in range(rounds):
         members = torn(members, F.col("degree") if k == 0 else F.xxhash64("node", F.lit(k)))
+        release(*spent)
+        spent = [members]
         asked = materialise(members.filter("component != main").select(*ordered("node", "pivot")).distinct(), "asked")
         if asked.isEmpty():  # every bucket is in one component
             break
         pairs = asked.join(mine("a"), "a").join(mine("b"), "b").filter(likely("a_", "b_")).select("a", "b")
         links = materialise(verify(pairs), "links")
+        release(asked)
         if links.isEmpty():
             break
         comps = joined(links)
+        release(links)
 
-    rest = torn(members, F.xxhash64("node")).select("key", "node", "component", "main").join(nodes, "node")
+    last = torn(members, F.xxhash64("node"))
+    rest = last.select("key", "node", "component", "main").join(nodes, "node")
     few = rest.filter("component != main").select("key", F.col("node").alias("a"), F.col("component").alias("a_c"), *[F.col(x).alias(f"a_{x}") for x in columns])
     every = rest.select(F.col("key").alias("k"), F.col("node").alias("b"), (F.col("component") == F.col("main")).alias("b_main"), F.col("component").alias("b_c"), *[F.col(x).alias(f"b_{x}") for x in columns])
     once = F.col("b_main") | (F.col("a") < F.col("b"))
@@ -124,4 +132,5 @@ def linked_components(
         comps = joined(links)
     if comps is None:
         comps = materialise(connected_components(links), "components")
+    release(*spent, last, links, nodes, degree)
     return comps

@@ -233,7 +233,9 @@ def line_groups(lines: DataFrame, named: DataFrame) -> DataFrame:
         side = lambda p: norms.select(F.col("node").alias(p), F.col("parts").alias(f"{p}_parts"))
         return _alike(pairs.join(side("a"), "a").join(side("b"), "b"))
 
-    return linked_components(buckets, norms.select("node", "size", "letters", "fp"), _likely, verify)
+    out = linked_components(buckets, norms.select("node", "size", "letters", "fp"), _likely, verify)
+    release(buckets, norms)
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
