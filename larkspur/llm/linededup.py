@@ -38,7 +38,7 @@ from larkspur.llm.components import linked_components, shared_buckets
 SIMILAR, LEAST = 90, 10
 CUT, SHORT, FEW = 5, 3, 3
 RADIUS, SURE = 10, 8
-ANCHOR, SLACK = 12, 25
+ANCHOR, SLACK = 12, 5
 _GROWTH = 1.35
 _LETTERS = " etaoinshrdlucgmpwbfv"
 _LAST_ID = 2**63 - 1
