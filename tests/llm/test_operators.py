@@ -264,17 +264,14 @@ def test_line_dedup_repeated_rows_long_lines_and_names(spark):
 
 def test_line_dedup_does_not_verify_unlike_lines_that_share_a_passage(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    words, often = [f"w{k}x{k * 7 % 11}" for k in range(3000)], ["the", "and", "of", "in"]
-    text = lambda n: [str(rng.choice(often if rng.random() < 0.3 else words)) for _ in range(n)]
-    passage, run = text(15), "thor " * 900
-    data = [(k, " ".join(text(25) + passage + text(25))) for k in range(60)]
-    data += [(k + 60, data[k][1].replace(data[k][1].split(" ")[3], "another", 1)) for k in range(5)]
-    data += [(70, f"{' '.join(passage)} {run}{' '.join(text(9))}")]
-    data += [(71, data[-1][1].replace(run, run + "thor " * 60))]
+    numbers = lambda n: [str(k) for k in rng.integers(1000, 9999, n)]
+    passage = " ".join(numbers(30))
+    data = [(k, f"{passage} a {' a '.join(numbers(80))}") for k in range(30)]  # the word "a" makes their SimHashes alike
+    data += [(30, data[0][1][:-4] + "5")]
     asked, alike = [], linededup._alike
     monkeypatch.setattr(linededup, "_alike", lambda both: asked.append(both.count()) or alike(both))
     got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert got == {i: [0] * (60 <= i < 65 or i == 71) for i, _ in data} and 6 <= sum(asked) <= 60
+    assert got == {i: [0] * (i == 30) for i, _ in data} and 1 <= sum(asked) <= 5
 
 
 def test_line_dedup_takes_short_lines(spark):
