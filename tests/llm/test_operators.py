@@ -274,6 +274,20 @@ def test_line_dedup_does_not_verify_unlike_lines_that_share_a_passage(spark, mon
     assert got == {i: [0] * (i == 30) for i, _ in data} and 1 <= sum(asked) <= 5
 
 
+def test_line_dedup_does_not_verify_lines_that_are_unlike_around_a_passage(spark, monkeypatch):
+    """Most words in common, so that words and SimHash do not tell them apart; each line has letters of its own around the passage."""
+    rng = np.random.default_rng(7)
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))
+    passage = words("abcdefghijklmnopqrstuvwxyz", 50)
+    own = ["etao", "insh", "rdlu", "cgmp", "wbfv"]
+    data = [(k, f"{words(own[k % 5], 11)} {passage} {words(own[(k + 1 + k // 5 % 4) % 5], 11)}") for k in range(40)]
+    data += [(40, data[0][1][7:]), (41, data[1][1][:-4] + "zzzz")]  # like the first two
+    asked, alike = [], linededup._alike
+    monkeypatch.setattr(linededup, "_alike", lambda both: asked.append(both.count()) or alike(both))
+    got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: [0] * (i >= 40) for i, _ in data} == brute.line_removals(data) and 2 <= sum(asked) <= 100
+
+
 def test_line_dedup_takes_short_lines(spark):
     data = [(1, "Contents\nNext page\n\n***"), (2, "next PAGE.\ncontents\n\n***"), (3, "internationally agreed rules"), (4, "internationally agreed rulez")]
     got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
