@@ -1,8 +1,10 @@
 import hashlib
 
 import brute
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -288,6 +290,22 @@ def test_line_dedup_does_not_verify_lines_that_are_unlike_around_a_passage(spark
     assert got == {i: [0] * (i >= 40) for i, _ in data} == brute.line_removals(data) and 2 <= sum(asked) <= 100
 
 
+def test_line_dedup_finds_all_links_of_lines_around_a_passage(spark):
+    """Own beginnings of about the length that edits allow, so that some of these lines are alike; they meet in many buckets."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("aeinorst"), int(rng.integers(2, 8)))) for _ in range(n))
+    passage = words(75)
+    data = [(k, f"{words(int(rng.integers(6, 15)))} {passage}") for k in range(70)]
+    got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    lines = duckdb.from_arrow(pa.table({"d": [d for d, _ in data], "t": [t for _, t in data]}))  # noqa: F841
+    links = duckdb.sql("SELECT a.d, b.d FROM lines a JOIN lines b ON a.d < b.d AND 100 * levenshtein(a.t, b.t) <= 10 * greatest(length(a.t), length(b.t))").fetchall()
+    least = {d: d for d, _ in data}
+    for _ in data:
+        for x, y in links:
+            least[x] = least[y] = min(least[x], least[y])
+    assert got == {d: [0] * (least[d] < d) for d, _ in data}
+
+
 def test_line_dedup_takes_short_lines(spark):
     data = [(1, "Contents\nNext page\n\n***"), (2, "next PAGE.\ncontents\n\n***"), (3, "internationally agreed rules"), (4, "internationally agreed rulez")]
     got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
