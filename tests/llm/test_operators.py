@@ -383,6 +383,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_one_table(spark, monkeypatch):
+    from larkspur.llm import components
+
+    written, write = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or write(df, name))
+    star = spark.createDataFrame([(k, 3) for k in range(4, 40)] + [(60, 50)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(star).collect()}
+    assert got == {k: 3 for k in range(3, 40)} | {50: 50, 60: 50} and written == ["edges"]
+    monkeypatch.setattr(components, "MANY", 1)  # the written steps, which few edges do without
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    assert {r.component for r in components.connected_components(chain).collect()} == {0} and "low" in written
+
+
 def measures(text):
     w = brute.words(text)
     lines = [x for x in (text or "").split("\n") if brute.words(x)]
