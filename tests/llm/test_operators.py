@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, decontam, linededup, lmscore, minhash, quality, suffix, tokencount, urlfilter, warc
+from larkspur.llm import bpe, components, decontam, linededup, lmscore, minhash, quality, suffix, tokencount, urlfilter, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -306,6 +306,38 @@ def test_line_dedup_finds_all_links_of_lines_around_a_passage(spark):
     assert got == {d: [0] * (least[d] < d) for d, _ in data}
 
 
+def test_line_dedup_holds_no_more_on_disk_than_the_search_needs(spark, monkeypatch):
+    """While pairs are searched: no keys of all lines, no second copy of the attributes, and shuffles of the texts are given up before."""
+    there, held, steps = {}, [], []
+
+    def written(write):
+        def named(df, name):
+            out = write(df, name)
+            there[out._larkspur_path] = (name, set(out.columns))
+            steps.append(name)
+            return out
+
+        return named
+
+    def released(*tables, drop=linededup.release):
+        for t in tables:
+            there.pop(getattr(t, "_larkspur_path", None), None)
+        drop(*tables)
+
+    for module in (linededup, components):
+        monkeypatch.setattr(module, "materialise", written(module.materialise))
+        monkeypatch.setattr(module, "release", released)
+    alike, forget = linededup._alike, linededup.forget_shuffles
+    monkeypatch.setattr(linededup, "_alike", lambda both: held.extend(there.values()) or alike(both))
+    monkeypatch.setattr(linededup, "forget_shuffles", lambda spark: steps.append("forgotten") or forget(spark))
+    line = "the quick brown fox jumps over the lazy dog while the sun sets behind the hills and the river runs on"
+    data = [(1, line), (2, line.replace("lazy", "lazi")), (3, "other things entirely are written on this line here")]
+    got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute.line_removals(data) == {1: [], 2: [0], 3: []}
+    assert held and not any("keys" in columns or name == "nodes" for name, columns in held)
+    assert all("forgotten" in steps[steps.index(name) : steps.index(name) + 2] for name in ("shared", "members", "spots", "norms"))
+
+
 def test_line_dedup_takes_short_lines(spark):
     data = [(1, "Contents\nNext page\n\n***"), (2, "next PAGE.\ncontents\n\n***"), (3, "internationally agreed rules"), (4, "internationally agreed rulez")]
     got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
