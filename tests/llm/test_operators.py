@@ -335,6 +335,7 @@ def test_line_dedup_holds_no_more_on_disk_than_the_search_needs(spark, monkeypat
     got = {r.doc_id: list(r.removed) for r in linededup.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == brute.line_removals(data) == {1: [], 2: [0], 3: []}
     assert held and not any("keys" in columns or name == "nodes" for name, columns in held)
+    assert steps.count("crossed") == linededup.PARTS > 1 and not any(name in ("rest", "crossed") for name, _ in there.values())  # the last search, part by part
     assert all("forgotten" in steps[steps.index(name) : steps.index(name) + 2] for name in ("shared", "members", "spots", "norms"))
 
 
