@@ -49,13 +49,13 @@ def ungrounded_figures(answer: Column, context: Column) -> Column:
     return F.get(F.transform(held, lambda h: F.filter(F.array_distinct(claims(answer)), lambda x: missing(x, h))), F.lit(0))
 
 
-def resolve_citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
+def resolve_citations(answers: DataFrame, retrieved: DataFrame, ties: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """``answer_id, position, citation, chunk_id, excerpt``: tags of ``answers(answer_id, answer)`` that name a
     passage of ``retrieved(answer_id, rank, citation, chunk_id, text)``. Of passages with one tag the last
-    counts; a repeated tag counts once; unknown tags go."""
+    counts, of those at one rank the first by ``ties``; a repeated tag counts once; unknown tags go."""
     tags = F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(TAG), F.lit(1)), lambda t: F.trim(t)))
     asked = answers.select("answer_id", F.posexplode(tags).alias("position", "citation"))
-    w = Window.partitionBy("answer_id", "citation").orderBy(F.desc("rank"))
+    w = Window.partitionBy("answer_id", "citation").orderBy(F.desc("rank"), *ties)
     last = retrieved.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     return asked.join(last, ["answer_id", "citation"]).select("answer_id", "position", "citation", "chunk_id", F.substring("text", 1, EXCERPT_CHARS).alias("excerpt"))
 

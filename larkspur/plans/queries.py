@@ -462,9 +462,9 @@ def citation_resolution(spark, d):
     li = table(spark, d, "lineitem")
     got = li.select(
         F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("0001:"), (F.col("l_partkey") % 9).cast("string"), F.lit(":7")).alias("citation"),
-        F.col("l_partkey").alias("chunk_id"), F.lit("").alias("text"),
-    )
-    return grounding.resolve_citations(_answers(spark, d).select("answer_id", "answer"), got).select("answer_id", "citation", "chunk_id")
+        F.col("l_partkey").alias("chunk_id"), F.lit("").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+    )  # rows of an order that share a line number: the first in the table counts
+    return grounding.resolve_citations(_answers(spark, d).select("answer_id", "answer"), got, ("file", "row")).select("answer_id", "citation", "chunk_id")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 4 = 0 THEN 'UNSUPPORTED: ' WHEN conv_id % 4 = 1 THEN 'Supported. ' WHEN conv_id % 4 = 2 THEN 'I do not know. ' ELSE '' END || text AS reply, conv_id % 6 = 0 AS bad FROM conversations WHERE role = 'assistant'),
