@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -49,6 +48,6 @@ def visible(html: str | bytes | None) -> str:
     return "".join(reader.parts)
 
 
-@F.pandas_udf(StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    return html.map(visible)
+@F.udf(StringType(), useArrow=False)  # pages come by the hundred, in Arrow by the ten thousand, all of which Python would hold
+def visible_text(html):
+    return visible(html)
