@@ -1,7 +1,8 @@
 """Chunks under a token budget, with provenance.
 
 Sentences are split by a Catalyst expression; the packing of sentences depends on what was packed before,
-so it is a fold in an Arrow UDF, section by section and without a shuffle.
+so it is a fold in a UDF, section by section and without a shuffle. Rows come to it by the hundred: in Arrow it would hold
+the sentences of 10,000 sections at once.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -19,6 +19,8 @@ from larkspur.functions import text as tx
 
 Counter = Callable[[str], int]
 
+EMBEDDED = 1024  # sentences that are embedded at once
+
 
 def estimate(text: str) -> int:
     return max(1, round(len(text) / 4))
@@ -77,30 +79,26 @@ def fixed_chunks(target: int = 512, overlap: int = 64, count: Counter = estimate
     """A Column function: array of sentences to array of chunks."""
     packer = Packer(target, overlap, count)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(sentences: pd.Series) -> pd.Series:
-        return sentences.map(lambda s: packer.pack(list(s) if s is not None else []))
+    @F.udf(ArrayType(StringType()), useArrow=False)
+    def run(sentences):
+        return packer.pack(sentences or [])
 
     return run
 
 
 def semantic_chunks(embed: Callable[[list[str]], np.ndarray], target: int = 512, overlap: int = 64, percentile: float = 95, count: Counter = estimate, limit: int | None = None):
-    """Like ``fixed_chunks``, with topic breaks; all sentences of an Arrow batch are embedded in one call.
+    """Like ``fixed_chunks``, with topic breaks; the sentences of a document are embedded ``EMBEDDED`` at a time.
     ``limit`` is the embedding model's own length, which the target may not pass."""
     if limit is not None and target > limit:
         raise ValueError(f"target {target} is more than the model takes ({limit})")
     packer = Packer(target, overlap, count)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(sentences: pd.Series) -> pd.Series:
-        lists = [list(s) if s is not None else [] for s in sentences]
-        flat = [x for s in lists for x in s]
-        vectors = embed(flat) if flat else np.zeros((0, 1))
-        out, at = [], 0
-        for s in lists:
-            out.append(packer.pack(s, topic_breaks(np.asarray(vectors[at : at + len(s)]), percentile)))
-            at += len(s)
-        return pd.Series(out)
+    @F.udf(ArrayType(StringType()), useArrow=False)
+    def run(sentences):
+        if not sentences:
+            return []
+        vectors = [np.asarray(embed(sentences[at : at + EMBEDDED])) for at in range(0, len(sentences), EMBEDDED)]
+        return packer.pack(sentences, topic_breaks(np.concatenate(vectors), percentile))
 
     return run
 

@@ -5,6 +5,8 @@ import io
 
 from pyspark.sql import functions as F
 
+from larkspur.operators import chunking
+from larkspur.plans.answer import HashingEmbedder
 from larkspur.sources.html import visible, visible_text
 
 
@@ -21,3 +23,19 @@ def test_pages_reach_the_tolerant_reader_in_small_batches(spark):
     out = pages.select("html", visible_text("html").alias("text"))
     assert "ArrowEvalPython" not in plan(out)  # it takes 10,000 pages of any size at once
     assert all(r.text == visible(r.html) for r in out.collect())
+
+
+def test_sentences_of_many_documents_are_not_embedded_at_once(spark):
+    most = chunking.EMBEDDED
+
+    def embed(texts):
+        assert len(texts) <= most
+        return HashingEmbedder().documents(texts)
+
+    words = F.transform(F.sequence(F.lit(1), F.when(F.col("id") == 5, 2500).otherwise(20)), lambda k: F.concat_ws(" ", F.lit("sentence"), (k % 7).cast("string"), F.lit("of"), (F.col("id") + k).cast("string")))
+    docs = spark.range(0, 300, 1, 1).select("id", F.when(F.col("id") != 7, words).alias("sentences"))
+    out = docs.select("id", "sentences", chunking.semantic_chunks(embed, 32, 4)("sentences").alias("chunks")).collect()
+    packer = chunking.Packer(32, 4)
+    for r in out:
+        s = r.sentences or []
+        assert r.chunks == packer.pack(s, chunking.topic_breaks(HashingEmbedder().documents(s), 95))
