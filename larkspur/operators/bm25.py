@@ -16,6 +16,9 @@ from larkspur.functions.text import tokens
 # Fixed values.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
+PAIRS = 500_000  # of a question and a chunk, that a task adds up
+BROADCAST = 1_000_000  # terms of questions that are sent to all tasks; the planner decides on more
+
 
 def tokenised(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``chunk_id, terms, dl`` and the columns ``keep``."""
@@ -51,18 +54,24 @@ def question_terms(questions: DataFrame, id_col: str = "question_id", text_col:
 
 def bm25_scores(tokenised_chunks: DataFrame, asked: DataFrame, where: Column | None = None, idf: DataFrame | None = None) -> DataFrame:
     """``question_id, chunk_id, score`` of the candidates with a score above zero. The text is read twice: for the
-    counts, and for the terms asked for; with ``idf`` from an index once, besides the column of lengths."""
+    counts, and for the terms asked for; with ``idf`` from an index once, besides the column of lengths. Only the terms asked for are
+    shuffled, by chunk, into parts of at most ``PAIRS`` or so; the pairs, which are nearly all there can be, are added up where they are made."""
     if idf is None:
         counts = corpus_counts(tokenised_chunks)
         idf, stats = term_stats(tokenised_chunks, counts), corpus_stats(counts)
     else:
         stats = tokenised_chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     candidates = tokenised_chunks if where is None else tokenised_chunks.filter(where)
+    stats = stats.first() or {"n": 0, "avgdl": None}  # an empty table has none
+    size = asked.agg(F.count("*").alias("rows"), F.countDistinct("question_id").alias("questions")).first()
+    parts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stats["n"] * size["questions"] // PAIRS))
+    few = F.broadcast if size["rows"] <= BROADCAST else lambda df: df
     terms = asked.select("term").distinct()
-    tf = candidates.select("chunk_id", "dl", F.explode("terms").alias("term")).join(terms, "term").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(idf.join(terms, "term", "left_semi"), "term").join(F.broadcast(stats)).select("chunk_id", "term", weight.alias("w"))
-    return asked.join(scored, "term").groupBy("question_id", "chunk_id").agg(F.sum("w").alias("score")).filter("score > 0")
+    found = candidates.select("chunk_id", "dl", F.explode("terms").alias("term")).join(few(terms), "term")
+    tf = found.repartition(parts, "chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"]).cast("double")))
+    scored = tf.join(few(idf.join(terms, "term", "left_semi")), "term").select("chunk_id", "term", weight.alias("w"))
+    return scored.join(few(asked), "term").groupBy("question_id", "chunk_id").agg(F.sum("w").alias("score")).filter("score > 0")
 
 
 def ranked(scores: DataFrame, k: int, rank: str, digits: int = 6) -> DataFrame:

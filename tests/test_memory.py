@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import chunking
+from larkspur.operators import bm25, chunking
 from larkspur.plans.answer import HashingEmbedder
 from larkspur.sources.html import visible, visible_text
 
@@ -39,3 +39,16 @@ def test_sentences_of_many_documents_are_not_embedded_at_once(spark):
     for r in out:
         s = r.sentences or []
         assert r.chunks == packer.pack(s, chunking.topic_breaks(HashingEmbedder().documents(s), 95))
+
+
+def test_pairs_of_questions_and_chunks_are_added_up_where_they_are_made(spark, monkeypatch):
+    words = F.concat_ws(" ", *[F.concat(F.lit("word"), (F.col("id") % k).cast("string")) for k in (2, 3, 5, 7, 11)])
+    chunks = bm25.tokenised(spark.range(200).select(F.col("id").alias("chunk_id"), words.alias("text")))
+    asked = bm25.question_terms(spark.range(50).select(F.col("id").alias("question_id"), words.alias("question")))
+    whole = {(r.question_id, r.chunk_id): round(r.score, 9) for r in bm25.bm25_scores(chunks, asked).collect()}
+    monkeypatch.setattr(bm25, "PAIRS", 1000, raising=False)
+    out = bm25.bm25_scores(chunks, asked)
+    assert "hashpartitioning(question_id" not in plan(out)  # nearly every chunk has some score for every question
+    assert "hashpartitioning(chunk_id" in plan(out) and ", 10)" in plan(out)  # 200 x 50 pairs
+    assert whole and {(r.question_id, r.chunk_id): round(r.score, 9) for r in out.collect()} == whole
+    assert bm25.bm25_scores(chunks.limit(0), asked).count() == bm25.bm25_scores(chunks, asked.limit(0)).count() == 0
