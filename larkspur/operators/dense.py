@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.vector import dot
 
 MAX_QUERY_BYTES = 64 << 20  # of query vectors that are sent to the tasks at once
+MAX_SCORES = 4 << 20  # that a task holds at once
 
 
 def exact_scores(chunks: DataFrame, queries: DataFrame, where: Column | None = None) -> DataFrame:
@@ -29,11 +30,16 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, where: Column |
     """``question_id, chunk_id, score, dense_rank`` by inner product (cosine of unit vectors), no threshold.
     ``chunks(chunk_id, vector)``, ``queries(question_id, query)``; query blocks are bounded by
     ``MAX_QUERY_BYTES``."""
-    candidates = (chunks if where is None else chunks.filter(where)).select("chunk_id", "vector")
+    return _search(chunks, queries, k, where, digits)
+
+
+def _search(chunks, queries, k, where, digits, probed=None):
+    """As ``dense_search``; with ``probed``, which gives a row of cells for each row of a matrix of queries, among those ``cell``s of ``chunks``."""
+    candidates = (chunks if where is None else chunks.filter(where)).select("chunk_id", "vector", *(["cell"] if probed else []))
     held = queries.select("question_id", "query").toLocalIterator(prefetchPartitions=False)
     out = None
     for ids, matrix in _blocks(held):
-        part = _best(candidates, ids, matrix, k, digits, chunks.schema["chunk_id"].dataType, queries.schema["question_id"].dataType)
+        part = _best(candidates, ids, matrix, k, digits, chunks.schema["chunk_id"].dataType, queries.schema["question_id"].dataType, probed and probed(matrix))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return queries.join(candidates).select("question_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(1).alias("dense_rank")).limit(0)
@@ -54,7 +60,7 @@ def _blocks(rows) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.stack(vectors)
 
 
-def _best(candidates, ids, matrix, k, digits, chunk_type, question_type):
+def _best(candidates, ids, matrix, k, digits, chunk_type, question_type, cells=None):
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -70,15 +76,22 @@ def _best(candidates, ids, matrix, k, digits, chunk_type, question_type):
         keep = order[np.arange(len(order)) - first < k]
         return asked[keep], found.take(pa.array(keep)), scores[keep]
 
+    def scored(batch):
+        vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+        if cells is None:
+            return vectors @ matrix.T
+        scores, own = np.full((batch.num_rows, len(ids)), -np.inf), batch.column("cell").to_numpy(zero_copy_only=False)
+        for cell in np.unique(own):
+            rows, asked = np.flatnonzero(own == cell), np.flatnonzero((cells == cell).any(axis=1))
+            scores[np.ix_(rows, asked)] = vectors[rows] @ matrix[asked].T
+        return scores
+
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = batch.column("vector").values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            scores = vectors @ matrix.T
+        held, step = None, max(k, MAX_SCORES // len(ids))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            scores = scored(batch)
             rounded, last = np.round(scores, digits), batch.num_rows - min(k, batch.num_rows)
-            rows, asked = np.nonzero(rounded >= np.partition(rounded, last, axis=0)[last])
+            rows, asked = np.nonzero((rounded >= np.partition(rounded, last, axis=0)[last]) & (rounded > -np.inf))
             new = (asked, batch.column("chunk_id").take(pa.array(rows)), scores[rows, asked])
             if held is not None:
                 new = (np.concatenate((held[0], new[0])), pa.concat_arrays([held[1], new[1]]), np.concatenate((held[2], new[2])))
@@ -174,8 +187,6 @@ class CellIndex:
 
     def search(self, assigned: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """``question_id, chunk_id, score, dense_rank`` among the probed cells."""
-        probes = self._near("query", self.probe, "_cells", queries).select("question_id", "query", F.explode("_cells").alias("cell"))
-        c = assigned if where is None else assigned.filter(where)
-        scores = c.join(probes, "cell").select("question_id", "chunk_id", dot(F.col("vector"), F.col("query")).alias("score"))
-        w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), "chunk_id")
-        return scores.withColumn("dense_rank", F.row_number().over(w)).filter(F.col("dense_rank") <= k)
+        size = np.linalg.norm(self.centres, axis=1, keepdims=True)
+        units, n = self.centres / np.where(size > 0, size, 1), self.probe
+        return _search(assigned, queries, k, where, 6, lambda matrix: np.argsort(-(matrix @ units.T), axis=1, kind="stable")[:, :n])

@@ -3,9 +3,10 @@
 import contextlib
 import io
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from larkspur.operators import bm25, chunking
+from larkspur.operators import bm25, chunking, dense
 from larkspur.plans.answer import HashingEmbedder
 from larkspur.sources.html import visible, visible_text
 
@@ -52,3 +53,21 @@ def test_pairs_of_questions_and_chunks_are_added_up_where_they_are_made(spark, m
     assert "hashpartitioning(chunk_id" in plan(out) and ", 10)" in plan(out)  # 200 x 50 pairs
     assert whole and {(r.question_id, r.chunk_id): round(r.score, 9) for r in out.collect()} == whole
     assert bm25.bm25_scores(chunks.limit(0), asked).count() == bm25.bm25_scores(chunks, asked.limit(0)).count() == 0
+
+
+def test_cell_search_makes_no_row_for_each_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in v], k % 7) for k, v in enumerate(rng.normal(size=(500, 8)))]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>, cell int")
+    queries = chunks.filter("chunk_id < 60").select(F.col("chunk_id").alias("question_id"), F.col("vector").alias("query"))
+    index = dense.CellIndex(rng.normal(size=(7, 8)), 7)
+    index.probe = 3
+    monkeypatch.setattr(dense, "MAX_SCORES", 1200, raising=False)
+    out = index.search(chunks, queries, 4)
+    assert "Join" not in plan(out)
+    near = np.argsort(-(np.array([r[1] for r in rows[:60]]) @ (index.centres / np.linalg.norm(index.centres, axis=1, keepdims=True)).T), axis=1)[:, :3]
+    want = {}
+    for q in range(60):
+        best = sorted((-round(float(np.dot(v, rows[q][1])), 6), k) for k, v, c in rows if c in near[q])[:4]
+        want |= {(q, k): at for at, (_, k) in enumerate(best, 1)}
+    assert {(r.question_id, r.chunk_id): r.dense_rank for r in out.collect()} == want
